@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpress.llm import chat, packing, token_counts, token_output
-from fieldpress.llm.shared import scratch, table
+from fieldpress.llm import chat, packing, quality_rules, token_counts, token_output
+from fieldpress.llm.shared import materialise, scratch, table
 
 
 def vocabulary(name: str) -> str:
@@ -20,6 +20,54 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = materialise(quality_rules.measure(table(spark, sf_dir, "documents")).drop("text"), "measured")
+    return quality_rules.apply_rules(measured).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP3_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source, coalesce(text, '') AS text FROM documents
+), split AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM docs
+), runs AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS run FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+), twice AS (
+  SELECT rid, run FROM runs GROUP BY rid, run HAVING count(*) > 1
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n_repeat_words
+  FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM runs JOIN twice USING (rid, run)) GROUP BY rid
+), m AS (
+  SELECT rid, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
+    CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines
+  FROM split LEFT JOIN covered USING (rid)
+), bins AS (
+  SELECT *, least(1000, 1000 * n_symbols // greatest(1, word_chars)) AS b1, least(1000, 1000 * n_repeat_words // greatest(1, n_words)) AS b2,
+    least(1000, 1000 * n_dup_lines // greatest(1, n_lines)) AS b3, least(1000, 10 * word_chars // greatest(1, n_words)) AS b4 FROM m
+), long AS (
+  SELECT lang, source, unnest([1, 2, 3, 4]) AS metric, unnest([b1, b2, b3, b4]) AS bin FROM bins
+), own AS (
+  SELECT lang, source, metric, quantile_disc(bin, 0.25) AS low, quantile_disc(bin, 0.75) AS high, count(*) AS total FROM long GROUP BY ALL
+), wide AS (
+  SELECT lang, metric, quantile_disc(bin, 0.25) AS wlow, quantile_disc(bin, 0.75) AS whigh FROM long GROUP BY ALL
+), q AS (
+  SELECT lang, source, metric, CASE WHEN total >= 200 THEN low ELSE wlow END AS low, CASE WHEN total >= 200 THEN high ELSE whigh END AS high
+  FROM own JOIN wide USING (lang, metric)
+), f AS (
+  SELECT lang, source, max(CASE WHEN metric = 1 THEN high + 3 * (high - low) + 30 END) AS t1, max(CASE WHEN metric = 2 THEN high + 3 * (high - low) + 300 END) AS t2,
+    max(CASE WHEN metric = 3 THEN high + 3 * (high - low) + 300 END) AS t3, max(CASE WHEN metric = 4 THEN high + 3 * (high - low) + 15 END) AS t4,
+    max(CASE WHEN metric = 4 THEN low - 3 * (high - low) - 15 END) AS t5 FROM q GROUP BY ALL
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND b1 <= t1 AND b2 <= t2 AND b3 <= t3 AND b4 <= t4 AND b4 >= t5 AS kept
+FROM bins JOIN f USING (lang, source)
+"""
+
+
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     uri = scratch(spark, "tokens")
     manifest = token_output.write_tokens(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), uri)
@@ -50,8 +98,8 @@ FROM turns GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op4_token_output, op5_token_counts, op8_chat_formatting)}
+    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op8_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_formatting": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op8_chat_formatting": OP8_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpress.llm import chat, packing, quality_rules, token_counts, token_output
+from fieldpress.llm import chat, decontamination, packing, quality_rules, token_counts, token_output
 from fieldpress.llm.shared import materialise, scratch, table
 
 
@@ -78,6 +78,33 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hit_spans")
+
+
+OP6_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), item_windows AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM items WHERE len(w) > 0)
+), doc_windows AS (
+  SELECT rid, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM item_windows) WHERE len(w) >= n)
+), found AS (
+  SELECT rid, i, n, item_id FROM doc_windows JOIN item_windows USING (n, win)
+), hit AS (
+  SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM found) GROUP BY rid
+), named AS (
+  SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
+"""
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(chat.with_added(spark, table(spark, sf_dir, "conversations")))
 
@@ -98,8 +125,8 @@ FROM turns GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op8_chat_formatting)}
+    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op6_decontamination, op8_chat_formatting)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL, "op8_chat_formatting": OP8_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpress.llm import chat, decontamination, packing, quality_rules, token_counts, token_output
+from fieldpress.llm import chat, decontamination, packing, quality_classifier, quality_rules, token_counts, token_output
 from fieldpress.llm.shared import materialise, scratch, table
 
 
@@ -124,8 +124,12 @@ FROM turns GROUP BY conv_id
 """
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op6_decontamination, op8_chat_formatting)}
+    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op6_decontamination, op8_chat_formatting, op9_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpress.llm import chat, decontamination, packing, quality_classifier, quality_rules, token_counts, token_output
+from fieldpress.llm import chat, decontamination, jaccard_join, packing, quality_classifier, quality_rules, token_counts, token_output
 from fieldpress.llm.shared import materialise, scratch, table
 
 
@@ -128,9 +128,35 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT rid, s FROM (
+    SELECT rid, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT rid, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5)
+    UNION ALL SELECT rid, array_to_string(w, ' ') FROM docs WHERE len(w) BETWEEN 1 AND 4)
+), sizes AS (
+  SELECT rid, count(*) AS n FROM shingles GROUP BY rid
+), linked AS (
+  SELECT a.rid AS a, b.rid AS b FROM shingles a JOIN shingles b ON a.s = b.s AND a.rid <> b.rid
+  GROUP BY a.rid, b.rid
+  HAVING 100 * count(*) >= 80 * ((SELECT n FROM sizes WHERE rid = a.rid) + (SELECT n FROM sizes WHERE rid = b.rid) - count(*))
+), reach AS (
+  SELECT rid, rid AS to_rid FROM docs
+  UNION SELECT r.rid, l.b FROM reach r JOIN linked l ON l.a = r.to_rid
+)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(t.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes USING (rid) JOIN reach r ON r.rid = d.rid JOIN docs t ON t.rid = r.to_rid GROUP BY d.rid, d.doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op6_decontamination, op8_chat_formatting, op9_quality_classifier)}
+    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op6_decontamination, op8_chat_formatting, op9_quality_classifier, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL, "op8_chat_formatting": OP8_SQL}
+    return {"op3_quality_rules": OP3_SQL, "op6_decontamination": OP6_SQL, "op8_chat_formatting": OP8_SQL, "op10_jaccard_join": OP10_SQL}

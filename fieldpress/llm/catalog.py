@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpress.llm import chat, decontamination, jaccard_join, packing, quality_classifier, quality_rules, token_counts, token_output
+from fieldpress.llm import chat, decontamination, jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_output
 from fieldpress.llm.shared import materialise, scratch, table
 
 
@@ -105,6 +105,10 @@ FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 """
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(chat.with_added(spark, table(spark, sf_dir, "conversations")))
 
@@ -155,7 +159,7 @@ FROM docs d LEFT JOIN sizes USING (rid) JOIN reach r ON r.rid = d.rid JOIN docs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op6_decontamination, op8_chat_formatting, op9_quality_classifier, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op6_decontamination, op7_substring_dedup, op8_chat_formatting, op9_quality_classifier, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -153,31 +153,62 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[new], nodes[new], keys[rest], leader[rest], nodes[rest]
 
 
+class Keys:
+    """Join keys that a task holds; `out` combines them and gives the rows to send on."""
+
+    def __init__(self, parts: int):
+        self.parts, self.size = parts, 0
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray, nodes: np.ndarray) -> None:
+        self.held.append((keys, nodes))
+        self.size += len(keys)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        keys, nodes, pair_keys, a, b = _stars(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
+        self.held, self.size = [], 0
+        if len(a):
+            yield _rows(part=pa.array((pair_keys % np.uint64(self.parts)).astype(np.int32)), key=pa.array(pair_keys.view(np.int64)), a=pa.array(a), b=pa.array(b))
+        where = (keys % np.uint64(self.parts)).astype(np.int32)
+        order = np.argsort(where, kind="stable")
+        where, flat = where[order], np.stack((keys.view(np.int64), nodes), axis=1)[order]
+        first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
+        yield _rows(part=pa.array(where[first]), blob=pa.array([x.tobytes() for x in np.split(flat, first[1:])], pa.binary()))
+
+
+def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of the keys dealt to a task, besides the rows that were ready."""
+    blobs: list[bytes] = []
+    for b in batches:
+        ready = pc.or_(col(b, "n").is_valid(), col(b, "a").is_valid())
+        blobs += [x for x, r in zip(col(b, "blob").to_pylist(), ready.to_pylist(), strict=True) if not r]
+        rest = b.filter(ready)
+        if rest.num_rows:
+            yield pa.record_batch(rest.columns, schema=MATCHED)
+    flat = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
+    _, _, keys, a, b = _stars(np.ascontiguousarray(flat[:, 0]).view(np.uint64), np.ascontiguousarray(flat[:, 1]))
+    for i in range(0, len(a), 100_000):
+        k = slice(i, i + 100_000)
+        yield _rows(key=pa.array(keys[k].view(np.int64)), a=pa.array(a[k]), b=pa.array(b[k]))
+
+
+def parts_of(spark) -> tuple[int, int]:
+    """Tasks that match keys, and the finer parts that keys are dealt to, so that tasks even out."""
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return tasks, 8 * tasks
+
+
 def matched(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
-    """Rows of two kinds: a document (part null: a doc_id, n, key and b its set's digest, blob set if its keys didn't suffice), or a candidate pair of a key (n null)."""
+    """Rows of two kinds: a document (a doc_id, n, key and b its set's digest, blob set if its keys didn't suffice), or a candidate pair of a key (n null)."""
     spark = docs.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = 8 * tasks  # finer than tasks, so that they even out
+    tasks, parts = parts_of(spark)
     shared = spark.sparkContext.broadcast(hot)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
-        held: list[tuple[np.ndarray, int]] = []
-        size = 0
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys = np.concatenate([k for k, _ in held])
-            nodes = np.repeat(np.array([d for _, d in held], np.int64), [len(k) for k, _ in held])
-            held.clear()
-            keys, nodes, pair_keys, a, b = _stars(keys, nodes)
-            if len(a):
-                yield _rows(part=pa.array((pair_keys % np.uint64(parts)).astype(np.int32)), key=pa.array(pair_keys.view(np.int64)), a=pa.array(a), b=pa.array(b))
-            where = (keys % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(where, kind="stable")
-            where, flat = where[order], np.stack((keys.view(np.int64), nodes), axis=1)[order]
-            first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-            yield _rows(part=pa.array(where[first]), blob=pa.array([x.tobytes() for x in np.split(flat, first[1:])], pa.binary()))
-
+        held = Keys(parts)
         for part in slices(batches):
             sets = shingle_sets(Words(col(part, "text")), SHINGLE)
             own, marks, short = col(part, "doc_id").to_pylist(), [], []
@@ -188,32 +219,15 @@ def matched(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
                         seen.clear()
                     seen.add(mark)
                     keys, enough = join_keys(s, shared.value, seed)
-                    held.append((keys, doc))
-                    size += len(keys)
+                    held.add(keys, np.full(len(keys), doc, np.int64))
                 marks.append(mark)
                 short.append(None if enough else b"1")
             n, x, y = zip(*marks, strict=True)
             scatter = pa.array(np.array([(d or 0) % parts for d in own], np.int32))
             yield _rows(part=scatter, key=pa.array(x), a=pa.array(own, pa.int64()), b=pa.array(y), n=pa.array(n, pa.int64()), blob=pa.array(short, pa.binary()))
-            if size >= HELD_KEYS:
-                yield from out()
-                size = 0
-        if held:
-            yield from out()
-
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs: list[bytes] = []
-        for b in batches:
-            ready = pc.or_(col(b, "n").is_valid(), col(b, "a").is_valid())
-            blobs += [x for x, r in zip(col(b, "blob").to_pylist(), ready.to_pylist(), strict=True) if not r]
-            rest = b.filter(ready)
-            if rest.num_rows:
-                yield pa.record_batch(rest.columns, schema=MATCHED)
-        flat = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-        _, _, keys, a, b = _stars(flat[:, 0].view(np.uint64) if len(flat) else np.zeros(0, np.uint64), flat[:, 1])
-        for i in range(0, len(a), 100_000):
-            k = slice(i, i + 100_000)
-            yield _rows(key=pa.array(keys[k].view(np.int64)), a=pa.array(a[k]), b=pa.array(b[k]))
+            if held.size >= HELD_KEYS:
+                yield from held.out()
+        yield from held.out()
 
     sent = docs.mapInArrow(emit, MATCHED_DDL).repartition(tasks, "part")
     return materialise(sent.mapInArrow(match, MATCHED_DDL), "matched")

@@ -154,10 +154,10 @@ def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 class Keys:
-    """Join keys that a task holds; `out` combines them and gives the rows to send on."""
+    """Join keys that a task holds; `out` combines them and gives the rows to send on. `kind` marks its pairs, `shift` its parts."""
 
-    def __init__(self, parts: int):
-        self.parts, self.size = parts, 0
+    def __init__(self, parts: int, shift: int = 0, kind: int | None = None):
+        self.parts, self.size, self.shift, self.kind = parts, 0, shift, kind
         self.held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def add(self, keys: np.ndarray, nodes: np.ndarray) -> None:
@@ -170,28 +170,32 @@ class Keys:
         keys, nodes, pair_keys, a, b = _stars(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
         self.held, self.size = [], 0
         if len(a):
-            yield _rows(part=pa.array((pair_keys % np.uint64(self.parts)).astype(np.int32)), key=pa.array(pair_keys.view(np.int64)), a=pa.array(a), b=pa.array(b))
-        where = (keys % np.uint64(self.parts)).astype(np.int32)
+            yield _rows(part=pa.array((pair_keys % np.uint64(self.parts)).astype(np.int32) + self.shift), key=pa.array(pair_keys.view(np.int64)), a=pa.array(a), b=pa.array(b), n=pa.array([self.kind] * len(a), pa.int64()))
+        where = (keys % np.uint64(self.parts)).astype(np.int32) + self.shift
         order = np.argsort(where, kind="stable")
         where, flat = where[order], np.stack((keys.view(np.int64), nodes), axis=1)[order]
         first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
         yield _rows(part=pa.array(where[first]), blob=pa.array([x.tobytes() for x in np.split(flat, first[1:])], pa.binary()))
 
 
-def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the keys dealt to a task, besides the rows that were ready."""
-    blobs: list[bytes] = []
+def match(batches: Iterator[pa.RecordBatch], shift: int = 1 << 30, kind: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs of the keys dealt to a task, besides the rows that were ready; parts from `shift` on are of the other kind."""
+    blobs: tuple[list[bytes], list[bytes]] = ([], [])
     for b in batches:
         ready = pc.or_(col(b, "n").is_valid(), col(b, "a").is_valid())
-        blobs += [x for x, r in zip(col(b, "blob").to_pylist(), ready.to_pylist(), strict=True) if not r]
+        for x, r, p in zip(col(b, "blob").to_pylist(), ready.to_pylist(), col(b, "part").to_pylist(), strict=True):
+            if not r:
+                blobs[p >= shift].append(x)
         rest = b.filter(ready)
         if rest.num_rows:
             yield pa.record_batch(rest.columns, schema=MATCHED)
-    flat = np.frombuffer(b"".join(blobs), np.int64).reshape(-1, 2)
-    _, _, keys, a, b = _stars(np.ascontiguousarray(flat[:, 0]).view(np.uint64), np.ascontiguousarray(flat[:, 1]))
-    for i in range(0, len(a), 100_000):
-        k = slice(i, i + 100_000)
-        yield _rows(key=pa.array(keys[k].view(np.int64)), a=pa.array(a[k]), b=pa.array(b[k]))
+    for own, mark in zip(blobs, (None, kind), strict=True):
+        flat = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)
+        own.clear()
+        _, _, keys, a, b = _stars(np.ascontiguousarray(flat[:, 0]).view(np.uint64), np.ascontiguousarray(flat[:, 1]))
+        for i in range(0, len(a), 100_000):
+            k = slice(i, i + 100_000)
+            yield _rows(key=pa.array(keys[k].view(np.int64)), a=pa.array(a[k]), b=pa.array(b[k]), n=pa.array([mark] * len(a[k]), pa.int64()))
 
 
 def parts_of(spark) -> tuple[int, int]:

@@ -1,18 +1,23 @@
-"""Repeated paragraphs across documents: MinHash bands, exact verification, clusters, removal.
+"""Repeated passages across documents: paragraph MinHash bands, exact verification, clusters, removal.
 
-A paragraph is a line of at least `LEAST` words; its signature is the minima of `BANDS * ROWS` hash
-functions over its five-word shingles. 20 bands of 5 rows bring together 99.96 % of the pairs at
-similarity 0.8. Equal word sequences are one node from the start. Colliding nodes are joined key by key
-as stars, verified by exact Jaccard similarity, and clustered by connected components.
+Two kinds of paragraphs are compared. Lines of at least `LEAST` words find near copies: their signature is
+the minima of `BANDS * ROWS` hash functions over five-word shingles, 20 bands of 5 rows bring together
+99.96 % of the pairs at similarity 0.8, colliding lines are joined key by key as stars, verified by exact
+Jaccard similarity, and clustered by connected components. Passages that were pasted into other text
+share no line, so texts are also cut into passages at the minima of their two-word hashes in windows of
+`PANE` words: wherever a run of words repeats, so do the cuts in it. A passage is three neighbouring
+pieces, and a cluster is its equals; a repeated run of 51 words is found but for 2 * PANE words at most.
 
-Of a cluster with members in two documents or more, the paragraph of the smallest (doc_id, paragraph)
-stays; the others go, where they stand in a run of neighbouring repeated paragraphs of at least `RUN`
-words: a single common short line stays. Lines of fewer words between two that go are removed with them.
+Of a cluster with members in two documents or more, the one of the smallest (doc_id, first word) stays. The
+others go, where repeated paragraphs with at most `GAP` words between them make a run of at least `RUN`
+words: a single common short line stays.
+
+Both kinds are matched as packed keys; a paragraph becomes a row only if its key was found twice.
 
 Defined cases: null or empty text has no paragraphs; rows that repeat a doc_id count as one document; a row
 without a doc_id is left as it is; an empty table gives no rows; other columns are kept by `deduplicated`,
-which replaces the text, drops documents left without a word, and ignores clashing names; the words of a
-paragraph are `[^\\x20\\x09-\\x0D]+`, lower-cased A-Z.
+which replaces the text and drops documents left without a word; words are `[^\\x20\\x09-\\x0D]+`,
+lower-cased A-Z.
 """
 
 from __future__ import annotations
@@ -27,15 +32,16 @@ from pyspark.sql import functions as F
 
 from fieldpress.llm.bytewords import Words, grams, mix, randoms
 from fieldpress.llm.components import components
-from fieldpress.llm.jaccard_join import HELD_KEYS, MATCHED_DDL, SALTS, Keys, _rows, links, match, parts_of, sketch
+from fieldpress.llm.jaccard_join import HELD_KEYS, MATCHED_DDL, SALTS, Keys, links, match, parts_of, sketch
 from fieldpress.llm.shared import BROADCAST_BYTES, bounded_batches, checkpointed, col, materialise, slices, texts_of
 
-SHINGLE, LEAST, RUN, BANDS, ROWS = 5, 5, 30, 20, 5
+SHINGLE, LEAST, BANDS, ROWS = 5, 5, 20, 5
+PANE, RUN, GAP = 10, 28, 4
 _WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
 
-class Paragraphs:
-    """The paragraphs of a slice of texts: text number, ordinal within it, first word, words, node, and shingle spans."""
+class Lines:
+    """The lines of a slice of texts that are long enough: text number, first word, words, node, and shingle spans."""
 
     def __init__(self, texts: pa.Array):
         self.words = w = Words(texts)
@@ -51,8 +57,6 @@ class Paragraphs:
         first = first[:-1][size >= LEAST]
         self.first, self.size = first, size[size >= LEAST]
         self.text = np.searchsorted(w.bounds, first, "right") - 1
-        begins = np.searchsorted(self.text, np.arange(len(texts)))
-        self.ordinal = np.arange(len(first)) - begins[self.text] if len(first) else first
         self.runs = grams(w.hash, SHINGLE)
         self.lens = self.size - SHINGLE + 1
         at, ends = self._spans(np.arange(len(first)))
@@ -83,44 +87,100 @@ class Paragraphs:
         return np.unique(self.runs[self.first[i] : self.first[i] + self.lens[i]])
 
 
+def passages(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, first word, words, node) of the passages of a slice of texts."""
+    g = grams(w.hash, 2)
+    empty = np.zeros(0, np.int64)
+    if len(g) < PANE:
+        return empty, empty, empty, empty
+    panes = np.lib.stride_tricks.sliding_window_view(g, PANE)
+    text = np.repeat(np.arange(len(w.bounds) - 1), np.diff(w.bounds))
+    inside = text[: len(panes)] == text[PANE : PANE + len(panes)]
+    cuts = np.unique((np.arange(len(panes)) + panes.argmin(axis=1))[inside])
+    if len(cuts) < 4:
+        return empty, empty, empty, empty
+    size = np.diff(cuts)
+    rank = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    k = randoms(int(rank.max()) + 1, 53)
+    piece = np.add.reduceat(mix(w.hash[cuts[0] : cuts[-1]]) * k[rank], cuts[:-1] - cuts[0]) + size.astype(np.uint64)
+    a, b, c = randoms(3, 59)
+    node = mix(mix(piece[:-2]) * a + mix(piece[1:-1]) * b + mix(piece[2:]) * c)
+    good = text[cuts[:-3]] == text[cuts[3:]]
+    return text[cuts[:-3]][good], cuts[:-3][good], (cuts[3:] - cuts[:-3])[good], node[good].view(np.int64)
+
+
+#: In the rows of `_collisions`, `n` of a pair of documents that share the paragraph `key`.
+SAME = -1
+
+
 def _collisions(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a paragraph (key node, a doc_id, b ordinal, n words), or a candidate pair of a band key (n null)."""
+    """Candidate pairs (key, a, b) of lines (n null) and pairs of documents (n = SAME) with an equal line or passage, key its node."""
     spark = docs.sparkSession
     tasks, parts = parts_of(spark)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, seen = Keys(parts), np.zeros(0, np.int64)
+        near, same, seen = Keys(parts), Keys(parts, shift=parts, kind=SAME), np.zeros(0, np.int64)
         for part in slices(batches):
-            p = Paragraphs(col(part, "text"))
-            if not len(p.node):
-                continue
-            doc = col(part, "doc_id").to_numpy(zero_copy_only=False)[p.text]
-            yield _rows(part=pa.array((p.node.view(np.uint64) % np.uint64(parts)).astype(np.int32)), key=pa.array(p.node), a=pa.array(doc), b=pa.array(p.ordinal), n=pa.array(p.size))
+            p = Lines(col(part, "text"))
+            doc = col(part, "doc_id").to_numpy(zero_copy_only=False)
+            text, _, _, node = passages(p.words)
+            same.add(np.concatenate((node, p.node)).view(np.uint64), doc[np.concatenate((text, p.text))])
             nodes, one = np.unique(p.node, return_index=True)
             new = ~np.isin(nodes, seen, assume_unique=True)
             seen = np.concatenate((seen, nodes[new])) if len(seen) < 1_000_000 else nodes
             if new.any():
-                held.add(p.keys(one[new]).ravel(), np.repeat(nodes[new], BANDS))
-            if held.size >= HELD_KEYS:
-                yield from held.out()
-        yield from held.out()
+                near.add(p.keys(one[new]).ravel(), np.repeat(nodes[new], BANDS))
+            for held in (near, same):
+                if held.size >= HELD_KEYS:
+                    yield from held.out()
+        yield from near.out()
+        yield from same.out()
+
+    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return match(batches, shift=parts, kind=SAME)
+
+    sent = docs.mapInArrow(emit, MATCHED_DDL).repartition(tasks, "part")
+    return materialise(sent.mapInArrow(matching, MATCHED_DDL).select("key", "a", "b", "n"), "collisions")
+
+
+def _bounded(ids: DataFrame):
+    """A broadcast of a column of distinct longs, sorted, if it is within the bound."""
+    if ids.count() * 8 > BROADCAST_BYTES:
+        return None
+    return ids.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in ids.toArrow().column(0).chunks)])))
+
+
+def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, doc_id, first, words) of every occurrence of the wanted lines and passages."""
+    ids = checkpointed(wanted.select("node").distinct())
+    shared = _bounded(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            p = Lines(col(part, "text"))
+            text, first, size, node = (np.concatenate(x) for x in zip(passages(p.words), (p.text, p.first, p.size, p.node), strict=True))
+            if shared is not None:
+                have = shared.value
+                at = np.minimum(np.searchsorted(have, node), max(0, len(have) - 1))
+                good = have[at] == node if len(have) else np.zeros(len(node), bool)
+                text, first, size, node = text[good], first[good], size[good], node[good]
+            doc = col(part, "doc_id").to_numpy(zero_copy_only=False)[text]
+            yield pa.record_batch([pa.array(node), pa.array(doc), pa.array(first - p.words.bounds[text]), pa.array(size)], ["node", "doc_id", "first", "words"])
 
-    sent = docs.where("doc_id IS NOT NULL").mapInArrow(emit, MATCHED_DDL).repartition(tasks, "part")
-    return materialise(sent.mapInArrow(match, MATCHED_DDL), "paragraphs")
+    found = docs.mapInArrow(run, "node long, doc_id long, first long, words long")
+    return found if shared is not None else found.join(ids, "node", "left_semi")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, n, sketch, tokens) of the wanted nodes."""
     spark = docs.sparkSession
     ids = checkpointed(wanted.select("node").distinct())
-    shared = None
-    if ids.count() * 8 <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in ids.toArrow().column(0).chunks)])))
+    shared = _bounded(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in slices(batches):
-            p = Paragraphs(col(part, "text"))
+            p = Lines(col(part, "text"))
             pick = np.arange(len(p.node)) if shared is None else np.flatnonzero(np.isin(p.node, shared.value))
             nodes = {n: i for n, i in zip(p.node[pick].tolist(), pick.tolist(), strict=True) if n not in seen}
             if len(seen) < 1_000_000:
@@ -133,56 +193,70 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialise(found.dropDuplicates(["node"]), "paragraph-sets")
 
 
-def repeated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Repeated paragraphs in runs of at least `RUN` words: doc_id, paragraph (ordinal), n_words, cluster_id, cluster_doc_id (its smallest), removed."""
+def repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Every occurrence of a repeated line or passage in a long enough run: doc_id, first, upto (words), run, source_doc_id (the cluster's smallest), removed."""
     bounded_batches(docs.sparkSession)
-    texts = texts_of(docs, "doc_id")
+    texts = texts_of(docs, "doc_id").where("doc_id IS NOT NULL")
     rows = _collisions(texts)
     candidates = rows.where("n IS NULL").select("key", "a", "b")
     nodes = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node")))
-    of = components(links(candidates, _sets(texts, nodes), percent))
-    each = rows.where("n IS NOT NULL").select(F.col("key").alias("node"), F.col("a").alias("doc_id"), F.col("b").alias("paragraph"), F.col("n").alias("n_words"))
-    kinds = each.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "paragraph")).alias("first"))
-    kinds = checkpointed(kinds.join(of, "node", "left").where("component IS NOT NULL OR low <> high").withColumn("cluster_id", F.coalesce("component", "node")))
-    clusters = kinds.groupBy("cluster_id").agg(F.min("low").alias("cluster_doc_id"), F.max("high").alias("high"), F.min("first").alias("keeper")).where("cluster_doc_id <> high").drop("high")
-    named = kinds.select("node", "cluster_id").join(clusters, "cluster_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "paragraph"), F.lit(SALTS)).cast("int"))
-    found = salted.join(named, ["node", "salt"]).distinct()
-    run = F.col("paragraph") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("paragraph"))
-    found = found.withColumn("run", run).withColumn("run_words", F.sum("n_words").over(Window.partitionBy("doc_id", "run"))).where(F.col("run_words") >= RUN)
-    stays = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("paragraph") == F.col("keeper.paragraph"))
-    return found.select("doc_id", "paragraph", "n_words", "cluster_id", "cluster_doc_id", (~stays).alias("removed"))
-
-
-def without(text: str, gone: set[int]) -> str:
-    """The text without the paragraphs of these ordinals, and without shorter lines between two of them."""
-    lines, number, kinds = text.split("\n"), 0, []
-    for x in lines:
-        n = len(_WORD.findall(x))
-        kinds.append(number if n >= LEAST else -1)
-        number += n >= LEAST
-    drop = [k in gone for k in kinds]
-    last = None
-    for i, k in enumerate(kinds):
-        if k >= 0:
-            if last is not None and drop[last] and drop[i]:
-                drop[last:i] = [True] * (i - last)
-            last = i
-    return "\n".join(x for x, d in zip(lines, drop, strict=True) if not d)
+    of = checkpointed(components(links(candidates, _sets(texts, nodes), percent)))
+    wanted = rows.where(F.col("n") == SAME).select(F.col("key").alias("node")).union(of.select("node"))
+    each = materialise(_places(texts, wanted).distinct(), "places")
+    kinds = each.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "first")).alias("keeper"))
+    kinds = checkpointed(kinds.join(of, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), "low", "high", "keeper"))
+    clusters = kinds.groupBy("cluster").agg(F.min("low").alias("source_doc_id"), F.max("high").alias("high"), F.min("keeper").alias("keeper")).where("source_doc_id <> high").drop("high")
+    named = kinds.select("node", "cluster").join(clusters, "cluster").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int"))
+    found = salted.join(named, ["node", "salt"])
+    stays = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("first") == F.col("keeper.first"))
+    found = found.select("doc_id", "first", (F.col("first") + F.col("words")).alias("upto"), "source_doc_id", (~stays).alias("removed"))
+    ordered = Window.partitionBy("doc_id").orderBy("first", "upto")
+    reached = F.max("upto").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("new", F.coalesce((F.col("first") > reached + GAP).cast("int"), F.lit(1)))
+    found = found.withColumn("run", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = Window.partitionBy("doc_id", "run")
+    found = found.withColumn("size", F.max("upto").over(whole) - F.min("first").over(whole))
+    return found.where(F.col("size") >= RUN).drop("new", "size")
+
+
+def repeated(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """One row per run of repeated words: doc_id, first_word, n_words, removed_words, source_doc_ids (the smallest documents of its clusters)."""
+    found = repeats(docs, percent)
+    spans = F.sort_array(F.collect_set(F.when(F.col("removed"), F.struct("first", "upto"))))
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("at"))
+    covered = F.aggregate(spans, start, lambda s, x: F.struct((s["total"] + F.greatest(F.lit(0).cast("long"), x["upto"] - F.greatest(x["first"], s["at"]))).alias("total"), F.greatest(s["at"], x["upto"]).alias("at")))
+    made = found.groupBy("doc_id", "run").agg(F.min("first").alias("first_word"), F.max("upto").alias("upto"), covered["total"].alias("removed_words"), F.sort_array(F.collect_set("source_doc_id")).alias("source_doc_ids"))
+    return made.select("doc_id", "first_word", (F.col("upto") - F.col("first_word")).alias("n_words"), "removed_words", "source_doc_ids")
+
+
+def without(text: str, gone: list[tuple[int, int]]) -> str:
+    """The text without the words of these spans; up to `GAP` words between two spans go with them, and so does the white space after them."""
+    runs: list[list[int]] = []
+    for a, b in sorted(gone):
+        if runs and a <= runs[-1][1] + GAP:
+            runs[-1][1] = max(runs[-1][1], b)
+        else:
+            runs.append([a, b])
+    words = [m.span() for m in _WORD.finditer(text)]
+    out, at = [], 0
+    for a, b in runs:
+        out.append(text[at : words[a][0]])
+        at = words[b][0] if b < len(words) else len(text)
+    return "".join([*out, text[at:]])
 
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents without their removed paragraphs; those left without a word are dropped."""
-    gone = repeated(docs, percent).where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_set("paragraph")).alias("__gone"))
-    gone = gone.withColumnRenamed("doc_id", "__doc")
+    """The documents without their removed words; those left without a word are dropped."""
+    gone = repeats(docs, percent).where("removed").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.array("first", "upto")).alias("__gone"))
     names = docs.columns
     both = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").select(*[docs[c] for c in names], "__gone")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            texts = [t if g is None or t is None else without(t, set(g)) for t, g in zip(col(part, "text").to_pylist(), col(part, "__gone").to_pylist(), strict=True)]
-            keep = pa.array([g is None or bool(_WORD.search(t or "")) for t, g in zip(texts, col(part, "__gone").to_pylist(), strict=True)])
-            columns = [pa.array(texts, pa.string()) if c == "text" else col(part, c) for c in names]
-            yield pa.record_batch(columns, names).filter(keep)
+            gone = col(part, "__gone").to_pylist()
+            texts = [t if g is None or t is None else without(t, g) for t, g in zip(col(part, "text").to_pylist(), gone, strict=True)]
+            keep = pa.array([g is None or bool(_WORD.search(t or "")) for t, g in zip(texts, gone, strict=True)], pa.bool_())
+            yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else col(part, c) for c in names], names).filter(keep)
 
     return both.mapInArrow(run, docs.schema)

@@ -1,7 +1,7 @@
 """Token ids as Arrow stream files of fixed-size lists: equal-length sequences and masks, read in place.
 
 A shard is one Arrow IPC stream of batches with `ids: fixed_size_list<uint16|uint32>[L]` and
-`mask: fixed_size_list<uint8>[L]` (1: an id, 0: padding at the shard's end), uncompressed, so a
+`mask: fixed_size_list<bool>[L]` (true: an id, false: padding at the shard's end; a bit each), uncompressed, so a
 memory map gives any sequence without a copy. Beside it lies an index stream with one row per
 document: doc_id, start (ids before it in its shard) and n_tokens, its end id counted.
 Shards follow doc_id order: a range partitioning deals documents to tasks, each task sorts its own.
@@ -45,7 +45,7 @@ class _Writer:
     def __init__(self, fs: pa.fs.FileSystem, stem: str, dtype: np.dtype, length: int):
         self.length, self.dtype, self.rest, self.n_docs, self.n_tokens = length, dtype, np.zeros(0, dtype), 0, 0
         self.file, self.index = f"{stem}.arrows", f"{stem}.index.arrows"
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(dtype), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.index_schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.sinks = [fs.open_output_stream(p) for p in (self.file, self.index)]
         self.out, self.index_out = (pa.ipc.new_stream(s, c) for s, c in zip(self.sinks, (self.schema, self.index_schema), strict=True))
@@ -62,8 +62,8 @@ class _Writer:
         self.rest = self.rest[whole * self.length :]
 
     def _put(self, ids: np.ndarray, filled: int | None = None) -> None:
-        mask = np.ones(len(ids), np.uint8)
-        mask[len(ids) if filled is None else filled :] = 0
+        mask = np.ones(len(ids), bool)
+        mask[len(ids) if filled is None else filled :] = False
         self.out.write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)], schema=self.schema))
 
     def close(self) -> None:
@@ -104,10 +104,12 @@ class Shard:
         self.length = self.batches[0].schema.field("ids").type.list_size
         self.firsts = np.cumsum([0, *(b.num_rows for b in self.batches)])
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids as a numpy view, and the mask as a slice of its bits."""
         k = int(np.searchsorted(self.firsts, i, "right")) - 1
         row = i - int(self.firsts[k])
-        return tuple(self.batches[k].column(c).values.to_numpy()[row * self.length : (row + 1) * self.length] for c in (0, 1))
+        ids, mask = (self.batches[k].column(c).values.slice(row * self.length, self.length) for c in (0, 1))
+        return ids.to_numpy(), mask
 
     def ids(self, start: int, n: int) -> np.ndarray:
         """Ids start to start + n: of one batch as a view, else joined."""

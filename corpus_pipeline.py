@@ -1,12 +1,69 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns
+them with the columns of `documents`, the last one the packed pieces. `run` writes each stage's rows
+as Parquet to the folder that driver and executors share and reads them again as the next one's docs.
+Rows keep their order-free identity; equal doc_ids are told apart by nothing but their content.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fieldpress.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup
+from fieldpress.llm.shared import materialise, table
+
+
+def _columns(docs: DataFrame, names: list[str]) -> DataFrame:
+    """n_chars follows the text; the other columns are as they were."""
+    return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else docs[c] for c in names])
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the adaptive quality rules keep. Metrics are measured once and written with the rows."""
+    measured = materialise(quality_rules.measure(docs), "measured")
+    return quality_rules.apply_rules(measured).where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest doc_id, of each group of near duplicates; rows without words or doc_id stay."""
+    found = jaccard_join.near_duplicates(docs)
+    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
+    return docs.join(dropped, docs["doc_id"] == dropped["__doc"], "left_anti")
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that an earlier document has."""
+    return _columns(substring_dedup.deduplicated(docs), docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a word inside any benchmark window."""
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return found.where("NOT contaminated").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Windows of at most 1024 ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("n-gram Jaccard join", near_duplicates),
+    ("substring dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("packing", packed),
+]
 
-STAGES: list = []
+#: Tokens and passages are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldpress.llm import chat, decontamination, jaccard_join, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_output
+from fieldpress.llm import chat, decontamination, jaccard_join, lm_scoring, packing, quality_classifier, quality_rules, substring_dedup, token_counts, token_output
 from fieldpress.llm.shared import materialise, scratch, table
 
 
@@ -16,6 +16,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
@@ -159,7 +163,7 @@ FROM docs d LEFT JOIN sizes USING (rid) JOIN reach r ON r.rid = d.rid JOIN docs
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op6_decontamination, op7_substring_dedup, op8_chat_formatting, op9_quality_classifier, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_lm_scoring, op2_packing, op3_quality_rules, op4_token_output, op5_token_counts, op6_decontamination, op7_substring_dedup, op8_chat_formatting, op9_quality_classifier, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

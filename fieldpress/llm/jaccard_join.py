@@ -335,7 +335,8 @@ def links(candidates: DataFrame, sets: DataFrame, percent: int = 80) -> DataFram
     """Verified links that have the components of all links. `candidates`: (key, a, b), for each key a star of its members.
 
     The stars are verified first. Of each key whose members then are in several components, members of
-    different components are tested against each other, and those links added.
+    different components are tested against each other, and those links added; keys of two members are
+    tested already, and of keys with the same members one is enough.
     """
     pairs = candidates.select("a", "b").distinct()
     found = verified(pairs, sets, percent)
@@ -343,6 +344,10 @@ def links(candidates: DataFrame, sets: DataFrame, percent: int = 80) -> DataFram
     several = labelled(labelled(candidates, of, "a"), of, "b").where("of_a <> of_b").select("key").distinct()
     star = candidates.join(several, "key")
     members = star.select("key", F.col("a").alias("node")).union(star.select("key", F.col("b").alias("node"))).distinct()
+    h = F.xxhash64("node")
+    alike = ["size", "total", "parity"]
+    marked = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(h % (1 << 40)).alias("total"), F.bit_xor(h).alias("parity")).where("size > 2")
+    members = members.join(marked.groupBy(*alike).agg(F.min("key").alias("key")).select("key"), "key")  # one key for all with the same members
     members = labelled(members, of, "node").withColumnRenamed("of_node", "of")
     fresh = crossed(members, sets, percent).join(pairs, ["a", "b"], "left_anti")
     return checkpointed(found.union(verified(fresh, sets, percent)))

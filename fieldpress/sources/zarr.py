@@ -265,5 +265,6 @@ def export(spark: SparkSession, path: str, target: str | None = None) -> str:
 
 def latest_file(spark: SparkSession, folder: str, prefix: str) -> str | None:
     """The most recently modified file of a folder whose name has the prefix."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*").load(folder)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*").option("recursiveFileLookup", True).load(folder)
+    files = files.where(F.regexp_count(F.substring_index("path", folder.rstrip("/"), -1), F.lit("/")) == 1)
     return files.select("path", "modificationTime").agg(F.max_by("path", "modificationTime")).first()[0]

@@ -3,17 +3,38 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and returns
 them with the columns of `documents`, the last one the packed pieces. `run` writes each stage's rows
 as Parquet to the folder that driver and executors share and reads them again as the next one's docs.
-Rows keep their order-free identity; equal doc_ids are told apart by nothing but their content.
+Since a stage's rows are written before the next begins, each stage first removes the intermediate
+tables of the stage before it.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpress.llm import decontamination, jaccard_join, packing, quality_rules, substring_dedup
-from fieldpress.llm.shared import materialise, table
+from fieldpress.llm.shared import collecting, discard, materialise, table
+
+_DONE: list[str] = []
+
+
+def stage(work: Callable) -> Callable:
+    """A stage that removes the intermediate tables of the one before it, whose rows are written by now."""
+
+    @functools.wraps(work)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        discard(spark, _DONE)
+        with collecting() as made:
+            out = work(spark, docs, sf_dir)
+        _DONE.extend(made)
+        return out
+
+    return run_stage
+
 
 
 def _columns(docs: DataFrame, names: list[str]) -> DataFrame:
@@ -21,12 +42,14 @@ def _columns(docs: DataFrame, names: list[str]) -> DataFrame:
     return docs.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else docs[c] for c in names])
 
 
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep. Metrics are measured once and written with the rows."""
     measured = materialise(quality_rules.measure(docs), "measured")
     return quality_rules.apply_rules(measured).where("kept").select(*docs.columns)
 
 
+@stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near duplicates; rows without words or doc_id stay."""
     found = jaccard_join.near_duplicates(docs)
@@ -34,17 +57,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(dropped, docs["doc_id"] == dropped["__doc"], "left_anti")
 
 
+@stage
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that an earlier document has."""
     return _columns(substring_dedup.deduplicated(docs), docs.columns)
 
 
+@stage
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside any benchmark window."""
     found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
     return found.where("NOT contaminated").select(*docs.columns)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of at most 1024 ids."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -64,6 +90,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for name, work in STAGES:
+        docs = materialise(work(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

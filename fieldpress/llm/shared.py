@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -34,8 +35,32 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Folders that `collecting` notes, innermost last.
+_NOTED: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _NOTED:
+        _NOTED[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def collecting() -> Iterator[list[str]]:
+    """The scratch folders made meanwhile, for `discard` once what reads them is done."""
+    _NOTED.append([])
+    try:
+        yield _NOTED[-1]
+    finally:
+        _NOTED.pop()
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    paths.clear()
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -45,6 +45,8 @@ HELD_KEYS = 1 << 20
 SALTS = 16
 #: Members of a key, or partners of a node, that one unit of work has, about.
 UNIT = 256
+#: Turns of one pivot per key before the members of different components are all tested.
+PIVOTS = 3
 SKETCH_WORDS = 32
 SMALL = 64
 
@@ -260,7 +262,9 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.record_batch([col(part, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sketch", "tokens"])
 
     found = (docs if chosen is None else chosen).mapInArrow(run, "node long, n long, sketch array<long>, tokens binary")
-    return materialise(found.dropDuplicates(["node"]), "sets")
+    sets = materialise(found, "sets")
+    distinct = sets.agg(F.count("node"), F.count_distinct("node")).first()
+    return sets if distinct[0] == distinct[1] else materialise(sets.dropDuplicates(["node"]), "sets")  # repeated rows
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -334,23 +338,35 @@ def crossed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def links(candidates: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     """Verified links that have the components of all links. `candidates`: (key, a, b), for each key a star of its members.
 
-    The stars are verified first. Of each key whose members then are in several components, members of
-    different components are tested against each other, and those links added; keys of two members are
-    tested already, and of keys with the same members one is enough.
+    The stars are verified first. Keys of two members are tested by that, and of keys with the same
+    members one is enough. While a key's members are in several components, a pivot of it, another one in
+    each of `PIVOTS` turns, is tested against its members of other components, so groups that are alike
+    merge by pairs as many as they have members. What then is apart is tested in full.
     """
-    pairs = candidates.select("a", "b").distinct()
-    found = verified(pairs, sets, percent)
+    tested = checkpointed(candidates.select("a", "b").distinct())
+    found = verified(tested, sets, percent)
     of = checkpointed(components(found))
-    several = labelled(labelled(candidates, of, "a"), of, "b").where("of_a <> of_b").select("key").distinct()
-    star = candidates.join(several, "key")
-    members = star.select("key", F.col("a").alias("node")).union(star.select("key", F.col("b").alias("node"))).distinct()
+    members = candidates.select("key", F.col("a").alias("node")).union(candidates.select("key", F.col("b").alias("node"))).distinct()
     h = F.xxhash64("node")
     alike = ["size", "total", "parity"]
     marked = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(h % (1 << 40)).alias("total"), F.bit_xor(h).alias("parity")).where("size > 2")
-    members = members.join(marked.groupBy(*alike).agg(F.min("key").alias("key")).select("key"), "key")  # one key for all with the same members
-    members = labelled(members, of, "node").withColumnRenamed("of_node", "of")
-    fresh = crossed(members, sets, percent).join(pairs, ["a", "b"], "left_anti")
-    return checkpointed(found.union(verified(fresh, sets, percent)))
+    members = checkpointed(members.join(marked.groupBy(*alike).agg(F.min("key").alias("key")).select("key"), "key"))  # one key for all with the same members
+    for turn in range(PIVOTS + 1):
+        own = labelled(members, of, "node").withColumnRenamed("of_node", "of")
+        several = own.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min_by(F.struct("node", "of"), F.xxhash64("node", F.lit(turn))).alias("pivot")).where("low <> high")
+        members = checkpointed(own.join(several.select("key", "pivot"), "key"))  # keys once in one component stay so
+        if turn == PIVOTS:
+            fresh = crossed(members.select("key", "node", "of"), sets, percent)
+        else:
+            fresh = members.where("of <> pivot.of").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        fresh = checkpointed(fresh.join(tested, ["a", "b"], "left_anti"))
+        members = members.select("key", "node")
+        more = verified(fresh, sets, percent)
+        found = checkpointed(found.union(more))
+        if turn < PIVOTS:
+            tested = checkpointed(tested.union(fresh))
+            of = checkpointed(components(of.select("node", "component").union(more.select("a", "b"))))
+    return found
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:

@@ -356,7 +356,7 @@ def _synthetic_scores(spark, sf_dir) -> DataFrame:
 
 @query()
 def kmeans_elbow(spark, sf_dir):
-    return clustering.elbow(_synthetic_scores(spark, sf_dir), "L1", range(3, 6))
+    return clustering.elbow(_synthetic_scores(spark, sf_dir), "L1")
 
 
 @query()

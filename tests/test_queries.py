@@ -17,7 +17,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in ("kmeans_elbow",)])
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query(spark, duck, name):
     df = registry.queries()[name](spark, DIR)
     got = [tuple(r[c] for c in sorted(df.columns)) for r in df.collect()]
@@ -26,3 +26,9 @@ def test_query(spark, duck, name):
         found = duck.sql(sql)
         want = [tuple(dict(zip(found.columns, r, strict=True))[c] for c in sorted(found.columns)) for r in found.fetchall()]
         assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_elbow_has_every_k(spark):
+    got = registry.queries()["kmeans_elbow"](spark, DIR).orderBy("k").collect()
+    assert [r.k for r in got] == [3, 4, 5, 6, 7, 8, 9]
+    assert all(r.inertia >= 0 and -1 <= r.silhouette <= 1 for r in got)

@@ -32,3 +32,11 @@ def test_elbow_has_every_k(spark):
     got = registry.queries()["kmeans_elbow"](spark, DIR).orderBy("k").collect()
     assert [r.k for r in got] == [3, 4, 5, 6, 7, 8, 9]
     assert all(r.inertia >= 0 and -1 <= r.silhouette <= 1 for r in got)
+
+
+def test_sweep_has_every_compressor(spark):
+    got = registry.evaluate_combos(spark, DIR).collect()
+    assert {r.comp_idx for r in got} == set(range(79))
+    assert {r.compressor.split("(")[0] for r in got} == {"Blosc", "LZ4", "Zstd", "Zlib", "GZip", "BZ2", "LZMA"}
+    best = registry.flagship(spark, DIR).collect()
+    assert [(r.ratio, r.ordinal) for r in best] == [max(((r.ratio, r.ordinal) for r in got), key=lambda x: (x[0], -x[1]))]

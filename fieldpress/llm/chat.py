@@ -6,13 +6,14 @@ it adds is the turn's span. A template that rewrites its history is detected by
 refused. Within a span, the text under the loss mask is located the same way: by rendering the turn
 with probe texts and comparing.
 
-Rendering all prefixes of n turns costs n * n; a conversation of more than `WINDOW` turns is rendered
-in windows that begin with its first turn and the last turn before the window, so its cost and
-memory stay linear; each window is checked against its own context, and so must be a template whose
-output for a turn depends on the first and the previous turn at most.
+Rendering all prefixes of n turns costs n * n. A template that declares with `local = True` that its
+output for a turn depends on the first and the previous turn at most, and that it never rewrites what
+came before, is rendered in windows of `WINDOW` turns that begin with the first turn and the last turn
+before the window, so cost and memory stay linear. Any other template is rendered over whole prefixes,
+whatever the length: its conversations are held whole.
 
 Conversations are gathered by hash of conv_id and sorted by turn; a task streams over its rows and
-holds one window, never a whole conversation. One conversation's hash digest is sequential, so its
+with a local template holds one window, never a whole conversation. One conversation's hash digest is sequential, so its
 rows must meet in one task; they pass through it in bounded memory.
 
 Defined cases: null role or text is empty; equal turns go by role and text; null conv_id is one
@@ -66,6 +67,8 @@ def chatml(turns: list[Turn]) -> str:
     return "".join(f"{START}{escape_role(role)}\n{escape(text)}{STOP}\n" for role, text in turns)
 
 
+chatml.local = True
+
 def spans(template: Template, turns: list[Turn], context: list[Turn] = [], trained: str = "assistant") -> list[tuple[str, int, int]]:  # noqa: B006
     """What each turn adds to the rendering of its prefix, and from where to where its text lies in that (0, 0 if not trained on).
 
@@ -88,7 +91,10 @@ def spans(template: Template, turns: list[Turn], context: list[Turn] = [], train
 
 
 def rendered(template: Template, turns: Iterable[Turn]) -> Iterator[tuple[str, int, int]]:
-    """The spans of a conversation of any length, in windows."""
+    """The spans of a conversation of any length, in windows if the template is local."""
+    if not getattr(template, "local", False):
+        yield from spans(template, list(turns))
+        return
     first: list[Turn] = []
     last: list[Turn] = []
     window: list[Turn] = []

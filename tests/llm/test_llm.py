@@ -408,3 +408,17 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert set(leaks) == set(repeats) - {102}
     got = rows(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)))
     assert sum(r["length"] for r in got) == sum(len(ids_of(t)) for t in leaks.values()) and {r["doc_id"] for r in got} == set(leaks)
+
+
+def test_chat_rewrites_far_back_are_refused():
+    turns = [("user" if i % 2 == 0 else "assistant", f"text {i}") for i in range(100)]
+
+    def shortens(turns):  # from turn 40 on, turns 2 to 9 are left out
+        return "".join(f"{r}:{t};" for i, (r, t) in enumerate(turns) if len(turns) <= 40 or not 2 <= i < 10)
+
+    def numbered(turns):
+        return "".join(f"{i}.{r}:{t};" for i, (r, t) in enumerate(turns))
+
+    with pytest.raises(chat.RewritesHistory):
+        list(chat.rendered(shortens, turns))
+    assert "".join(s for s, _, _ in chat.rendered(numbered, turns)) == numbered(turns)

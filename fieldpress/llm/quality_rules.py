@@ -45,14 +45,15 @@ def repeat_words(words: Column) -> Column:
     """Words in three-word windows that the text has twice or more.
 
     Each window is one long: its hash above its position, so that sorting lays equal windows side by
-    side; windows whose neighbour has their hash are repeated, and their positions cover the words.
+    side. The position takes bits from the hash, so windows whose neighbour has their hash are only
+    candidates; these are sorted again by their words, and the positions of equal ones cover the words.
     """
 
     def windows(w: Column) -> Column:
         n = F.size(w)
         bits = F.length(F.bin(n))
         packed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.call_function("shiftleft", F.xxhash64(w[i], w[i + 1], w[i + 2]), bits).bitwiseOR(i.cast("long")))
-        return bound(F.struct(F.sort_array(packed).alias("s"), bits.alias("bits")), lambda x: bound(positions(x["s"], x["bits"]), covered))
+        return bound(F.struct(F.sort_array(packed).alias("s"), bits.alias("bits")), lambda x: bound(positions(x["s"], x["bits"]), lambda p: bound(exact(w, p), covered)))
 
     def positions(s: Column, bits: Column) -> Column:
         key = lambda x: F.call_function("shiftright", x, bits)
@@ -60,6 +61,12 @@ def repeat_words(words: Column) -> Column:
         mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
         return F.sort_array(F.transform(repeated, lambda x: x.bitwiseAND(mask)))
 
+    def exact(w: Column, p: Column) -> Column:
+        word = lambda i, k: F.get(w, (i + k).cast("int"))
+        own = F.sort_array(F.transform(p, lambda i: F.struct(word(i, 0).alias("a"), word(i, 1).alias("b"), word(i, 2).alias("c"), i.alias("at"))))
+        same = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        return bound(own, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, i: ((i > 0) & same(F.get(s, i - 1), x)) | ((i < F.size(s) - 1) & same(F.get(s, i + 1), x))), lambda x: x["at"])))
+
     def covered(p: Column) -> Column:
         steps = F.transform(p, lambda x, i: F.when(i == F.size(p) - 1, F.lit(3).cast("long")).otherwise(F.least(F.lit(3).cast("long"), F.get(p, i + 1) - x)))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)

@@ -422,3 +422,8 @@ def test_chat_rewrites_far_back_are_refused():
     with pytest.raises(chat.RewritesHistory):
         list(chat.rendered(shortens, turns))
     assert "".join(s for s, _, _ in chat.rendered(numbered, turns)) == numbered(turns)
+
+
+def test_repeat_words_of_a_very_long_text(spark):
+    once = frame(spark, [(1, " ".join(map(str, range(30_000_000, 30_000_000 + (1 << 21) - 1)))), (2, "a b c d a b c e")])
+    assert {r["doc_id"]: r["n_repeat_words"] for r in rows(quality_rules.measure(once))} == {1: 0, 2: 6}

@@ -302,6 +302,25 @@ def test_substring_dedup(spark, docs, nothing):
     assert substring_dedup.repeated(nothing).count() == 0 and substring_dedup.deduplicated(nothing).count() == 0
 
 
+def test_short_repeats_are_found_and_stay(spark):
+    line = " ".join(f"licence{i}" for i in range(20))
+    docs = frame(spark, [(i, prose(920 + i, 60, 9000) + "\n" + line + "\n" + prose(940 + i, 60, 9000)) for i in range(3)])
+    got = rows(substring_dedup.repeated(docs))
+    assert {r["doc_id"] for r in got if r["n_words"] >= 20} == {0, 1, 2} and all(r["removed_words"] == 0 for r in got)
+    assert all(line in r["text"] for r in rows(substring_dedup.deduplicated(docs)))
+
+
+def test_wrapped_near_copy_of_a_block(spark):
+    words_of = [f"word{i}" for i in range(160)]
+    changed = [f"other{i}" if i in (44, 114) else x for i, x in enumerate(words_of)]
+    wrap = lambda x, n: "\n".join(" ".join(x[i : i + n]) for i in range(0, len(x), n))
+    docs = frame(spark, [(1, prose(960, 30, 9000).replace("\n", " ") + "\n\n" + wrap(words_of, 8)), (2, prose(961, 30, 9000).replace("\n", " ") + "\n \n" + wrap(changed, 9)), (3, wrap(words_of[:30], 6))])
+    got = {r["doc_id"]: r for r in rows(substring_dedup.repeated(docs)) if r["doc_id"] == 2}
+    assert got[2]["n_words"] == 160 and got[2]["removed_words"] == 160
+    p = substring_dedup.Lines(pa.array(["a b c d e\nf g h i j\n\nk l m n o", "", "p q r s t\n\t\nu v w x y\nz"]))
+    assert sorted(zip(p.text.tolist(), p.first.tolist(), p.size.tolist(), strict=True)) == [(0, 0, 5), (0, 0, 10), (0, 5, 5), (0, 10, 5), (2, 15, 5), (2, 20, 5), (2, 20, 6)]
+
+
 def test_without_words():
     assert substring_dedup.without("a b c d e f", [(1, 3)]) == "a d e f" and substring_dedup.without("a b c", [(0, 3)]) == ""
     assert substring_dedup.without("a b c d e f", [(0, 1), (4, 5)]) == "f"

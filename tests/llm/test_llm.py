@@ -321,6 +321,11 @@ def test_wrapped_near_copy_of_a_block(spark):
     assert sorted(zip(p.text.tolist(), p.first.tolist(), p.size.tolist(), strict=True)) == [(0, 0, 5), (0, 0, 10), (0, 5, 5), (0, 10, 5), (2, 15, 5), (2, 20, 5), (2, 20, 6)]
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85, 0.9, 0.95])
+def test_bands_miss_no_more_than_20_of_5(similarity):
+    assert (1 - similarity**substring_dedup.ROWS) ** substring_dedup.BANDS <= (1 - similarity**5) ** 20
+
+
 def test_without_words():
     assert substring_dedup.without("a b c d e f", [(1, 3)]) == "a d e f" and substring_dedup.without("a b c", [(0, 3)]) == ""
     assert substring_dedup.without("a b c d e f", [(0, 1), (4, 5)]) == "f"

@@ -66,18 +66,44 @@ def spans(buf: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[::2] + 1, at[1::2] + 1
 
 
+#: Spans up to this many bytes are hashed eight bytes at a time, longer ones byte by byte.
+SHORT = 64
+_BLOCKS = randoms(SHORT // 8, 13)
+
+
+def _long_sums(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    first = np.cumsum(lens) - lens
+    rank = np.arange(int(lens.sum())) - np.repeat(first, lens)
+    terms = coefficients(int(lens.max()))[rank]
+    terms *= buf[rank + np.repeat(starts, lens)].astype(np.uint64) + np.uint64(1)
+    return np.add.reduceat(terms, first)
+
+
 def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit multilinear hash of each span; spans are in order and don't overlap."""
+    """A 64-bit hash of each span, none of them empty: a sum of its bytes or eight-byte blocks, each mixed or times a coefficient of its place."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     lens = ends - starts
-    first = np.cumsum(lens) - lens
-    rank = np.arange(int(lens.sum())) - np.repeat(first, lens)
-    at = rank + np.repeat(starts, lens)
-    terms = coefficients(int(lens.max()))[rank]
-    terms *= buf[at].astype(np.uint64) + np.uint64(1)
-    h = np.add.reduceat(terms, first)
-    return mix(h + lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    wide = np.lib.stride_tricks.as_strided(np.concatenate((buf, np.zeros(8, np.uint8))).view(np.dtype("u1")), (len(buf) + 1, 8), (1, 1))
+    which, at, left = np.arange(len(starts)), starts, lens
+    if (long := lens > SHORT).any():
+        h[long] += _long_sums(buf, starts[long], lens[long])
+        which = np.flatnonzero(~long)
+        at, left = starts[which], lens[which]
+    for k in _BLOCKS:
+        block = wide[at].reshape(-1).view(np.uint64)
+        cut = np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))
+        block = mix((block << cut) * k)
+        if len(which) == len(h):
+            h += block
+        else:
+            h[which] += block
+        more = left > 8
+        if not more.any():
+            break
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    return mix(h)
 
 
 class Words:

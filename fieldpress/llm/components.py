@@ -1,8 +1,9 @@
 """Connected components of a link table by alternating large and small stars, distributed.
 
 Each task first replaces its links by those of its own spanning stars, so links within large groups
-shrink to one per member. Then rounds of joins on small rows follow, each checkpointed, until no link
-changes; a hub's rows are split by adaptive execution, its minimum is combined on the map side.
+shrink to one per member. If at most `HELD` links are left, one more task does the same to them all, and
+its stars are the components. Otherwise rounds of joins on small rows follow, each checkpointed, until no
+link changes; a hub's rows are split by adaptive execution, its minimum is combined on the map side.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ def stars(u: list[int], v: list[int]) -> dict[int, int]:
     return {x: find(x) for x in root}
 
 
-def contracted(links: DataFrame) -> DataFrame:
+def contracted(links: DataFrame, held: int) -> DataFrame:
     """Fewer links with the same components: each task's stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -51,7 +52,7 @@ def contracted(links: DataFrame) -> DataFrame:
         for b in batches:
             u += b.column(0).to_pylist()
             v += b.column(1).to_pylist()
-            if len(u) >= HELD:
+            if len(u) >= held:
                 yield out()
         if u:
             yield out()
@@ -59,19 +60,26 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.mapInArrow(run, "u long, v long")
 
 
-def components(links: DataFrame) -> DataFrame:
+def named(edges: DataFrame) -> DataFrame:
+    """(node, component) of stars (u, v), the roots included."""
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+
+
+def components(links: DataFrame, held: int = HELD) -> DataFrame:
     """(node, component): the smallest node that each linked node reaches; nodes without links are left out.
 
     `links` has two long columns; self-links and repeats are fine.
     """
     a, b = (F.col(c) for c in links.columns[:2])
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
-    edges = checkpointed(contracted(pairs).distinct())
+    edges = checkpointed(contracted(pairs, held))
 
     def shape(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 
     before = shape(edges)
+    if before[0] <= held:
+        return named(checkpointed(contracted(edges.coalesce(1), held + 1)))
     while before[0]:
         both = edges.select("u", "v").union(edges.select(F.col("v"), F.col("u")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -84,4 +92,4 @@ def components(links: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
+    return named(edges)

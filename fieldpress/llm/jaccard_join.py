@@ -10,42 +10,44 @@ that any partner may have: a differing shingle spoils one segment at most, so on
 * Shingles that very many documents have (lossy counts over all documents) are left out of the
   segments; this lowers the symmetric difference only, so no link is lost. Documents with too few
   segments left add keys made of all their shingles; two of them meet there, any other pair already
-  has. Small sets use single shingles, in hash order, as segments.
-* Keys are matched as packed arrays, each task's own keys combined first: per key a star of candidate
-  pairs, as many as the key has members, never all pairs.
+  has. Sets below `SMALL` shingles have segments so fine that each holds one shingle.
+* The nodes of the join are distinct sets, named by a digest of which no two sets have the same: that is
+  checked, and another seed taken if need be. Exact copies are one node from the start, and rows of one
+  doc_id with different texts are different nodes.
+* Keys are matched as packed arrays (see `matching`); keys with the same members count once. Of each key,
+  the members are first paired with its smallest, never with each other.
 * Candidates are tested by size and by the Hamming distance of a wide parity sketch, then verified on
   their full sets. Keys whose members are not all in one component then have their members of
   different components tested against each other, in units of bounded blocks: no link is lost.
 
-Exact copies meet by a digest of their sets and are joined once, as one class. Defined cases: null
-text, or text without words, has an empty set and links with nothing; repeated rows of a doc_id are
-rows of one node; rows without a doc_id keep a null component; an empty table gives no rows; extra
-columns are ignored.
+Defined cases: null text, or text without words, has an empty set and links with nothing; repeated rows of a
+doc_id get a row each; a row without a doc_id links with nothing and has a null component; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldpress.llm.bytewords import Words, mix, shingle_sets
 from fieldpress.llm.components import components
-from fieldpress.llm.shared import BROADCAST_BYTES, bounded_batches, checkpointed, col, materialise, slices, texts_of
+from fieldpress.llm.matching import HELD_KEYS, Entries, dealt, packed, parts_in_order, parts_of, row, unpacked
+from fieldpress.llm.shared import BROADCAST_BYTES, bounded_batches, checkpointed, col, discard, hinted, longs, materialise, slices, texts_of
 
 SHINGLE = 5
 #: Texts per lossy count, the least count that is kept, and the most frequent shingles that are left out.
 HOT_BYTES, HOT_LEAST, HOT_MOST = 8 << 20, 4, 1 << 16
-#: Keys that a task holds before it sends them on.
-HELD_KEYS = 1 << 20
-SALTS = 16
-#: Members of a key, or partners of a node, that one unit of work has, about.
+#: Partners of a node that one unit of work has, about.
 UNIT = 256
-#: Turns of one pivot per key before the members of different components are all tested.
+#: Members of a key that one unit tests against each other, or against as many others.
+CROSS = 1024
+#: Turns of one pivot per key of more than `CROSS` members before its members of different components are all tested.
 PIVOTS = 3
 SKETCH_WORDS = 32
 SMALL = 64
@@ -54,7 +56,7 @@ SMALL = 64
 def bands() -> np.ndarray:
     edges = [1]
     while edges[-1] < 1 << 40:
-        edges.append(max(edges[-1] + 1, edges[-1] * 3 // 2))
+        edges.append(2 * edges[-1])
     return np.array(edges, np.int64)
 
 
@@ -96,25 +98,27 @@ def join_keys(tokens: np.ndarray, hot: np.ndarray, seed: int) -> tuple[np.ndarra
     return np.concatenate(out), enough
 
 
-def digest(tokens: np.ndarray) -> tuple[int, int]:
-    a = int(mix(tokens + np.uint64(0x632BE59BD9B4E019)).sum(dtype=np.uint64)) if len(tokens) else 0
+def digest(tokens: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """Two independent 64-bit digests of a set."""
+    salt = np.uint64(seed * 0x2545F4914F6CDD1D & (1 << 64) - 1)
+    a = int(mix(tokens + np.uint64(0x632BE59BD9B4E019) + salt).sum(dtype=np.uint64)) if len(tokens) else 0
     b = int(np.bitwise_xor.reduce(mix(tokens ^ np.uint64(0xA0761D6478BD642F)))) if len(tokens) else 0
     return np.uint64(a).astype(np.int64).item(), np.uint64(b).astype(np.int64).item()
 
 
-def sketch(tokens: np.ndarray) -> np.ndarray:
+def sketch(tokens: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
     """A parity sketch: each token flips one bit."""
-    bit = (mix(tokens) >> np.uint64(32)) % np.uint64(64 * SKETCH_WORDS)
-    flips = np.bincount(bit.astype(np.int64), minlength=64 * SKETCH_WORDS) & 1
+    bit = (mix(tokens) >> np.uint64(32)) % np.uint64(64 * words)
+    flips = np.bincount(bit.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def frequent(docs: DataFrame) -> np.ndarray:
-    """Sorted shingles that many documents have, by lossy counts over all of them; a help for speed alone."""
+def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Sorted shingles that many documents have, by lossy counts over all of them, a help for speed alone; and the bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        size = 0
+        size = total = 0
 
         def out() -> pa.RecordBatch:
             values, n = np.unique(np.concatenate(held), return_counts=True)
@@ -125,146 +129,131 @@ def frequent(docs: DataFrame) -> np.ndarray:
         for part in slices(batches):
             held += shingle_sets(Words(col(part, "text")), SHINGLE)
             size += col(part, "text").nbytes
+            total += col(part, "text").nbytes
             if size >= HOT_BYTES:
                 yield out()
                 size = 0
         if held:
             yield out()
+        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.array([total], pa.int64())], ["h", "n"])
 
-    counts = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").toArrow()
-    return np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in top.column(0).chunks)]).view(np.uint64))
-
-
-MATCHED = pa.schema([("part", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("blob", pa.binary())])
-MATCHED_DDL = "part int, key long, a long, b long, n long, blob binary"
-
-
-def _rows(**columns) -> pa.RecordBatch:
-    size = len(next(iter(columns.values())))
-    return pa.record_batch([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in MATCHED], schema=MATCHED)
-
-
-def _stars(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of (key, node): the leaders (key, smallest node), and a pair (key, leader, member) for each other node."""
-    order = np.lexsort((nodes, keys))
-    keys, nodes = keys[order], nodes[order]
-    new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
-    leader = nodes[np.flatnonzero(new)][np.cumsum(new) - 1] if len(keys) else nodes
-    rest = ~new & (nodes != leader)
-    return keys[new], nodes[new], keys[rest], leader[rest], nodes[rest]
-
-
-class Keys:
-    """Join keys that a task holds; `out` combines them and gives the rows to send on. `kind` marks its pairs, `shift` its parts."""
-
-    def __init__(self, parts: int, shift: int = 0, kind: int | None = None):
-        self.parts, self.size, self.shift, self.kind = parts, 0, shift, kind
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def add(self, keys: np.ndarray, nodes: np.ndarray) -> None:
-        self.held.append((keys, nodes))
-        self.size += len(keys)
-
-    def out(self) -> Iterator[pa.RecordBatch]:
-        if not self.size:
-            return
-        keys, nodes, pair_keys, a, b = _stars(*(np.concatenate(x) for x in zip(*self.held, strict=True)))
-        self.held, self.size = [], 0
-        if len(a):
-            yield _rows(part=pa.array((pair_keys % np.uint64(self.parts)).astype(np.int32) + self.shift), key=pa.array(pair_keys.view(np.int64)), a=pa.array(a), b=pa.array(b), n=pa.array([self.kind] * len(a), pa.int64()))
-        where = (keys % np.uint64(self.parts)).astype(np.int32) + self.shift
-        order = np.argsort(where, kind="stable")
-        where, flat = where[order], np.stack((keys.view(np.int64), nodes), axis=1)[order]
-        first = np.flatnonzero(np.concatenate(([True], where[1:] != where[:-1])))
-        yield _rows(part=pa.array(where[first]), blob=pa.array([x.tobytes() for x in np.split(flat, first[1:])], pa.binary()))
-
-
-def match(batches: Iterator[pa.RecordBatch], shift: int = 1 << 30, kind: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs of the keys dealt to a task, besides the rows that were ready; parts from `shift` on are of the other kind."""
-    blobs: tuple[list[bytes], list[bytes]] = ([], [])
-    for b in batches:
-        ready = pc.or_(col(b, "n").is_valid(), col(b, "a").is_valid())
-        for x, r, p in zip(col(b, "blob").to_pylist(), ready.to_pylist(), col(b, "part").to_pylist(), strict=True):
-            if not r:
-                blobs[p >= shift].append(x)
-        rest = b.filter(ready)
-        if rest.num_rows:
-            yield pa.record_batch(rest.columns, schema=MATCHED)
-    for own, mark in zip(blobs, (None, kind), strict=True):
-        flat = np.frombuffer(b"".join(own), np.int64).reshape(-1, 2)
-        own.clear()
-        _, _, keys, a, b = _stars(np.ascontiguousarray(flat[:, 0]).view(np.uint64), np.ascontiguousarray(flat[:, 1]))
-        for i in range(0, len(a), 100_000):
-            k = slice(i, i + 100_000)
-            yield _rows(key=pa.array(keys[k].view(np.int64)), a=pa.array(a[k]), b=pa.array(b[k]), n=pa.array([mark] * len(a[k]), pa.int64()))
-
-
-def parts_of(spark) -> tuple[int, int]:
-    """Tasks that match keys, and the finer parts that keys are dealt to, so that tasks even out."""
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return tasks, 8 * tasks
-
-
-def matched(docs: DataFrame, hot: np.ndarray, seed: int) -> DataFrame:
-    """Rows of two kinds: a document (a doc_id, n, key and b its set's digest, blob set if its keys didn't suffice), or a candidate pair of a key (n null)."""
+    counts = checkpointed(docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    levels = counts.groupBy(F.col("h").isNull().alias("total"), F.floor(F.log2("n") * 8).alias("level")).agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).collect()  # a few hundred rows
+    least, left = 1 << 30, HOT_MOST
+    for r in sorted((r for r in levels if not r.total), key=lambda r: -r.level):
+        if (left := left - r.kinds) < 0:
+            break
+        least = r.level
+    (hot,) = longs(counts.where(F.col("h").isNotNull() & (F.floor(F.log2("n") * 8) >= least)).select("h"))
+    return np.sort(hot.view(np.uint64)), sum(r.n for r in levels if r.total)
+
+
+#: Kinds of rows that are dealt: a document's own, members of a key that are ready, and others.
+OWN, READY, KEYED = 0, 1, 2
+LONG = np.dtype(np.int64)
+MATCHED_DDL = "key long, node long, doc_id long, n long, y long, enough boolean"
+
+
+def members_batch(key: np.ndarray, node: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Rows of members, the other columns null."""
+    for a in range(0, len(key), 100_000):
+        k, x = (pa.array(c[a : a + 100_000].view(np.int64)) for c in (key, node))
+        yield pa.record_batch([k, x, *(pa.nulls(len(k), pa.bool_() if c == "enough" else pa.int64()) for c in names[2:])], names)
+
+
+def matched(docs: DataFrame, hot: np.ndarray, seed: int, text_bytes: int) -> DataFrame:
+    """Rows of two kinds: a document (key null) with its set's digest as node, or a member (n null) of a key of several nodes."""
     spark = docs.sparkSession
-    tasks, parts = parts_of(spark)
+    tasks, parts = parts_of(spark, text_bytes)
     shared = spark.sparkContext.broadcast(hot)
+    names = [f.split()[0] for f in MATCHED_DDL.split(", ")]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
-        held = Keys(parts)
+        held = Entries(parts, ["u8", "i8"], READY, KEYED)
         for part in slices(batches):
             sets = shingle_sets(Words(col(part, "text")), SHINGLE)
-            own, marks, short = col(part, "doc_id").to_pylist(), [], []
-            for doc, s in zip(own, sets, strict=True):
-                mark, enough = (len(s), *digest(s)), True
+            own = []
+            for doc, s in zip(col(part, "doc_id").to_pylist(), sets, strict=True):
+                x, y = digest(s, seed)
+                mark, enough = (len(s), x, y), True
                 if len(s) and doc is not None and mark not in seen:
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(mark)
                     keys, enough = join_keys(s, shared.value, seed)
-                    held.add(keys, np.full(len(keys), doc, np.int64))
-                marks.append(mark)
-                short.append(None if enough else b"1")
-            n, x, y = zip(*marks, strict=True)
-            scatter = pa.array(np.array([(d or 0) % parts for d in own], np.int32))
-            yield _rows(part=scatter, key=pa.array(x), a=pa.array(own, pa.int64()), b=pa.array(y), n=pa.array(n, pa.int64()), blob=pa.array(short, pa.binary()))
+                    held.add(keys, np.full(len(keys), x, np.int64))
+                own.append((doc or 0, doc is not None, len(s), x, y, enough))
+            yield row(abs(own[0][3]) % parts, OWN, packed(list(np.array(own, np.int64).T)))
             if held.size >= HELD_KEYS:
                 yield from held.out()
         yield from held.out()
 
-    sent = docs.mapInArrow(emit, MATCHED_DDL).repartition(tasks, "part")
-    return materialise(sent.mapInArrow(match, MATCHED_DDL), "matched")
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = Entries(parts, ["u8", "i8"], READY, KEYED)
+        for kind, blobs in parts_in_order(batches, {KEYED}):
+            if kind == OWN:
+                doc, known, n, x, y, enough = unpacked(blobs[0], [LONG] * 6)
+                ids = pa.array(doc, mask=known == 0)
+                yield pa.record_batch([pa.nulls(len(doc), pa.int64()), pa.array(x), ids, pa.array(n), pa.array(y), pa.array(enough > 0)], names)
+            else:
+                yield from members_batch(*(entries.joined(blobs) if kind == KEYED else entries.unpacked(blobs[0])), names)
+
+    return materialise(dealt(docs, emit, tasks, match, MATCHED_DDL), "matched")
+
 
+SETS_DDL = "node long, n long, sketch array<long>, tokens binary"
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, sketch, tokens) of the wanted documents, one row each."""
+
+def sets_batch(nodes: list[int], sets: list[np.ndarray], words: int = SKETCH_WORDS) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s, words) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sketch", "tokens"])
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, make) -> DataFrame:
+    """(node, n, sketch, tokens) of the wanted (node, doc_id), each made from its document alone by `make(part, pick)`.
+
+    The wanted pairs go to all tasks if they are within the bound, else to their documents by a join.
+    `pick(node, doc)` tells which of a task's (node, document) are wanted.
+    """
     spark = docs.sparkSession
-    ids = wanted.select("node").distinct()
-    if (count := ids.count()) * 8 <= BROADCAST_BYTES:
-        have = np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in ids.toArrow().column(0).chunks)]))
-        assert len(have) == count
-        shared = spark.sparkContext.broadcast(have)
-        chosen = None
+    if wanted.count() * 16 <= BROADCAST_BYTES:
+        nodes, owner = longs(wanted.select("node", "doc_id"))
+        order = np.argsort(nodes)
+        shared, chosen = spark.sparkContext.broadcast((nodes[order], owner[order], np.unique(owner))), docs
     else:
-        shared, chosen = None, docs.join(ids.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+        shared, chosen = None, docs.join(wanted.groupBy("doc_id").agg(F.collect_list("node").alias("nodes")), "doc_id")
+
+    def picker(nodes: np.ndarray, owner: np.ndarray):
+        def pick(node: np.ndarray, doc: np.ndarray) -> np.ndarray:
+            if not len(nodes):
+                return np.zeros(len(node), bool)
+            at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+            return (nodes[at] == node) & (owner[at] == doc)
+
+        return pick
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if shared is not None:
-                have, own = shared.value, col(batch, "doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(have, own), max(0, len(have) - 1))
-                batch = batch.filter(pa.array(have[at] == own if len(have) else np.zeros(len(own), bool)))
+                own = col(batch, "doc_id").fill_null(-1).to_numpy(zero_copy_only=False)
+                batch = batch.filter(pa.array(np.isin(own, shared.value[2])))
             for part in slices(iter([batch])):
-                sets = shingle_sets(Words(col(part, "text")), SHINGLE)
-                yield pa.record_batch([col(part, "doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sketch", "tokens"])
-
-    found = (docs if chosen is None else chosen).mapInArrow(run, "node long, n long, sketch array<long>, tokens binary")
-    sets = materialise(found, "sets")
+                if shared is not None:
+                    nodes, owner = shared.value[:2]
+                else:
+                    lists = col(part, "nodes")
+                    nodes, owner = lists.flatten().to_numpy(), np.repeat(col(part, "doc_id").to_numpy(), np.diff(lists.offsets.to_numpy()))
+                    order = np.lexsort((owner, nodes))
+                    nodes, owner = nodes[order], owner[order]
+                yield make(part, picker(nodes, owner))
+
+    sets = materialise(chosen.mapInArrow(run, SETS_DDL), "sets")
     distinct = sets.agg(F.count("node"), F.count_distinct("node")).first()
-    return sets if distinct[0] == distinct[1] else materialise(sets.dropDuplicates(["node"]), "sets")  # repeated rows
+    if distinct[0] == distinct[1]:
+        return sets
+    once = materialise(sets.dropDuplicates(["node"]), "sets")  # rows that repeat a document
+    discard(sets)
+    return once
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
@@ -277,11 +266,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     side = lambda s: small.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))
     apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    likely = checkpointed(pairs.join(side("a"), "a").join(side("b"), "b").where(sizes).where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"))
+    pairs = hinted(checkpointed(pairs))
+    likely = checkpointed(side("b").join(side("a").join(pairs, "a"), "b").where(sizes).where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"))
     units = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("long").alias("units"))
     likely = likely.join(units, "a").select("a", "b", F.pmod(F.xxhash64("b"), "units").alias("salt"))
-    members = likely.select("a", "salt", F.col("b").alias("node")).union(likely.select("a", "salt", F.col("a").alias("node")).distinct())
-    loaded = members.join(sets.select("node", "tokens"), "node")
+    members = checkpointed(likely.select("a", "salt", F.col("b").alias("node")).union(likely.select("a", "salt", F.col("a").alias("node")).distinct()))
+    loaded = sets.select("node", "tokens").join(hinted(members), "node")
 
     def check(table: pa.Table) -> pa.Table:
         a = table.column("a")[0].as_py()
@@ -297,19 +287,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     return checkpointed(loaded.groupBy("a", "salt").applyInArrow(check, "a long, b long"))
 
 
-def labelled(nodes: DataFrame, found: DataFrame, column: str) -> DataFrame:
-    """`nodes` with the component of `column`, the node itself where it has none."""
-    names = found.select(F.col("node").alias(column), F.col("component").alias(f"of_{column}"))
-    return nodes.join(names, column, "left").withColumn(f"of_{column}", F.coalesce(f"of_{column}", column))
-
+def crossed(members: DataFrame, sets: DataFrame, percent: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of one key's members in different components that size and sketch let pass.
 
-def crossed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one key's members in different components that size and sketch let pass.
-
-    `members`: (key, node, of). A key of more than `UNIT` members is dealt to units of two blocks each,
-    so a unit's rows are bounded; pairs are tested within the unit and only those that pass leave it.
+    `members`: (key, node, of). A key of more than `CROSS` members is dealt to units of two blocks each,
+    so a unit's rows are bounded; pairs are tested within the unit and only those that pass leave it. With
+    `forest`, a unit's pairs are no more than its members: of those that pass, only such as join what others
+    have not joined yet; a row (key, null) tells that there are more.
     """
-    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("int").alias("blocks"))
+    blocks = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROSS).cast("int").alias("blocks"))
     dealt = members.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", "node", "of", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
@@ -317,81 +303,128 @@ def crossed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     def test(table: pa.Table) -> pa.Table:
         node, of, block, n = (table.column(c).to_numpy() for c in ("node", "of", "block", "n"))
-        bits = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH_WORDS)
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        bits = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        label, left_out = np.unique(of, return_inverse=True)[1], 0
         out: list[np.ndarray] = []
         for x in left.tolist():
             y = right[(of[right] != of[x]) & (100 * np.minimum(n[right], n[x]) >= percent * np.maximum(n[right], n[x]))]
             if i == j:
                 y = y[node[y] > node[x]]
-            if len(y):
-                apart = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
-                y = y[(100 + percent) * apart <= (100 - percent) * (n[y] + n[x])]
-                out.append(np.stack((np.minimum(node[y], node[x]), np.maximum(node[y], node[x])), axis=1))
+            if not len(y):
+                continue
+            distance = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            y = y[(100 + percent) * distance <= (100 - percent) * (n[y] + n[x])]
+            if forest and len(y):
+                passed = len(y)
+                y = y[label[y] != label[x]]
+                labels, one = np.unique(label[y], return_index=True)
+                y = y[one]
+                label[np.isin(label, labels)] = label[x]
+                left_out += passed - len(y)
+            out.append(np.stack((np.minimum(node[y], node[x]), np.maximum(node[y], node[x])), axis=1))
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *out])
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        a, b = pairs[:, 0].tolist(), pairs[:, 1].tolist()
+        return pa.table({"a": pa.array([*a, *[key] * (left_out > 0)], pa.int64()), "b": pa.array([*b, *[None] * (left_out > 0)], pa.int64())})
 
     return units.groupBy("key", "i", "j").applyInArrow(test, "a long, b long").distinct()
 
 
-def links(candidates: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """Verified links that have the components of all links. `candidates`: (key, a, b), for each key a star of its members.
+def links(members: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """(node, component) of all links between members (key, node) of a common key.
 
-    The stars are verified first. Keys of two members are tested by that, and of keys with the same
-    members one is enough. While a key's members are in several components, a pivot of it, another one in
-    each of `PIVOTS` turns, is tested against its members of other components, so groups that are alike
-    merge by pairs as many as they have members. What then is apart is tested in full.
+    Of keys with the same members one is enough. Each member is verified against its key's smallest first,
+    which settles keys of two. While members of a key of more than `CROSS` are in several components, a pivot of
+    it, another one in each of `PIVOTS` turns, is tested against its members of other components, so very large
+    groups that are alike merge by pairs as many as they have members. What then is apart is tested in full: a
+    forest of the pairs that pass is verified first, and what is left of them once that has merged components.
     """
-    tested = checkpointed(candidates.select("a", "b").distinct())
-    found = verified(tested, sets, percent)
-    of = checkpointed(components(found))
-    members = candidates.select("key", F.col("a").alias("node")).union(candidates.select("key", F.col("b").alias("node"))).distinct()
     h = F.xxhash64("node")
-    alike = ["size", "total", "parity"]
-    marked = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(h % (1 << 40)).alias("total"), F.bit_xor(h).alias("parity")).where("size > 2")
-    members = checkpointed(members.join(marked.groupBy(*alike).agg(F.min("key").alias("key")).select("key"), "key"))  # one key for all with the same members
-    for turn in range(PIVOTS + 1):
-        own = labelled(members, of, "node").withColumnRenamed("of_node", "of")
-        several = own.groupBy("key").agg(F.min("of").alias("low"), F.max("of").alias("high"), F.min_by(F.struct("node", "of"), F.xxhash64("node", F.lit(turn))).alias("pivot")).where("low <> high")
-        members = checkpointed(own.join(several.select("key", "pivot"), "key"))  # keys once in one component stay so
-        if turn == PIVOTS:
-            fresh = crossed(members.select("key", "node", "of"), sets, percent)
-        else:
-            fresh = members.where("of <> pivot.of").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-        fresh = checkpointed(fresh.join(tested, ["a", "b"], "left_anti"))
-        members = members.select("key", "node")
-        more = verified(fresh, sets, percent)
-        found = checkpointed(found.union(more))
-        if turn < PIVOTS:
-            tested = checkpointed(tested.union(fresh))
-            of = checkpointed(components(of.select("node", "component").union(more.select("a", "b"))))
-    return found
+    alike = ["size", "total", "parity", "low"]
+    members = members.distinct()
+    marked = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(h % (1 << 40)).alias("total"), F.bit_xor(h).alias("parity"), F.min("node").alias("low")).where("size > 1")
+    members = materialise(members.join(marked.groupBy(*alike).agg(F.min("key").alias("key")).select("key", "size", "low"), "key"), "members")
+    of = checkpointed(components(verified(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)))
+    large = members.where(F.col("size") > CROSS).select("key", "node")
+    for turn in range(PIVOTS if large.take(1) else 0):
+        own = apart(large, of, turn)
+        pairs = own.where("of <> pivot.of").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
+        of = checkpointed(components(of.union(verified(pairs, sets, percent))))
+        large = own.select("key", "node")
+    rest = members.where("size > 2").select("key", "node")
+    for forest in (True, False):
+        own = apart(rest, of, PIVOTS)
+        pairs = checkpointed(crossed(own, sets, percent, forest))
+        more = verified(pairs.where("b IS NOT NULL"), sets, percent)
+        if more.take(1):
+            of = checkpointed(components(of.union(more)))
+        keys = checkpointed(pairs.where("b IS NULL").select(F.col("a").alias("key")).distinct())
+        if not keys.take(1):
+            break
+        rest = own.select("key", "node").join(hinted(keys), "key")
+    discard(members)
+    return of
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+def apart(members: DataFrame, of: DataFrame, turn: int) -> DataFrame:
+    """(key, node, of, pivot) of the keys whose members are in several components `of`."""
+    own = members.join(hinted(of.withColumnRenamed("component", "of")), "node", "left").withColumn("of", F.coalesce("of", "node"))
+    several = own.groupBy("key").agg(F.min("of").alias("least"), F.max("of").alias("most"), F.min_by(F.struct("node", "of"), F.xxhash64("node", F.lit(turn))).alias("pivot")).where("least <> most")
+    return checkpointed(own.join(hinted(checkpointed(several.select("key", "pivot"))), "key"))
+
+
+def grouped(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, node (its set) and group (the least node of its component)."""
     bounded_batches(docs.sparkSession)
     texts = texts_of(docs, "doc_id")
-    hot = frequent(texts)
-    seed = 0
-    while True:
-        rows = matched(texts, hot, seed)
-        if not rows.where("n IS NOT NULL AND blob IS NOT NULL").take(1):
+    hot, size = frequent(texts)
+    for seed in itertools.count():
+        rows = matched(texts, hot, seed, size)
+        own = rows.where("n IS NOT NULL").select("doc_id", "n", "node", "y")
+        classes = own.where("n > 0 AND doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), *[f(c).alias(f"{f.__name__}_{c}") for f in (F.min, F.max) for c in ("n", "y")])
+        classes = materialise(classes, "classes")
+        if not rows.where("NOT enough").take(1) and not classes.where("min_n <> max_n OR min_y <> max_y").take(1):
             break
-        seed += 1
-    own = rows.where("n IS NOT NULL").select(F.col("a").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("key").alias("x"), F.col("b").alias("y"))
-    candidates = rows.where("n IS NULL").select("key", "a", "b")
-    nodes = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node"))).distinct()
-    linked = links(candidates, sets_of(texts, nodes), percent)
-    digest_of = ["n_shingles", "x", "y"]
-    classes = checkpointed(own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy(*digest_of).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    ends = linked.select(F.col("a").alias("doc_id")).union(linked.select(F.col("b").alias("doc_id"))).distinct()
-    reps = own.join(ends, "doc_id", "left_semi").distinct().join(classes, digest_of).select("doc_id", "rep")
-    side = lambda s: reps.select(F.col("doc_id").alias(s), F.col("rep").alias(f"r{s}"))
-    of = components(linked.join(side("a"), "a").join(side("b"), "b").select("ra", "rb"))
-    named = classes.join(of.select(F.col("node").alias("rep"), "component"), "rep", "left").where("copies > 1 OR component IS NOT NULL")
-    named = named.select(*digest_of, F.coalesce("component", "rep").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = own.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(named, [*digest_of, "salt"], "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        discard(rows, classes)  # a set of too few segments, or two sets of one digest
+    members = rows.where("n IS NULL").select("key", "node")
+    wanted = classes.select("node", "doc_id").join(hinted(checkpointed(members.select("node").distinct())), "node")
+
+    def make(part: pa.RecordBatch, pick) -> pa.RecordBatch:
+        sets = shingle_sets(Words(col(part, "text")), SHINGLE)
+        node = np.array([digest(s, seed)[0] for s in sets], np.int64)
+        good = np.flatnonzero(pick(node, col(part, "doc_id").to_numpy(zero_copy_only=False)))
+        good = good[np.unique(node[good], return_index=True)[1]].tolist()
+        return sets_batch(node[good].tolist(), [sets[i] for i in good])
+
+    sets = sets_of(texts, checkpointed(wanted), make)
+    of = links(members, sets, percent)
+    discard(sets)
+    least = of.join(classes, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = classes.select("node", "doc_id", "copies").join(of.join(least, "component"), "node", "left").where("copies > 1 OR component IS NOT NULL")
+    named = checkpointed(named.select("node", F.coalesce("least", "doc_id").alias("least"), F.coalesce("component", "node").alias("group")))
+    both = own.join(hinted(named), "node", "left")  # a set that very many rows have: adaptive execution splits its rows
+    both = both.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"), "node", F.coalesce("group", "node").alias("group"))
+    both._seed = seed
+    return both
+
+
+def seed_of(groups: DataFrame) -> int:
+    """The seed of the nodes of `grouped`."""
+    return groups._seed
+
+
+def with_nodes(docs: DataFrame, name: str, seed: int) -> DataFrame:
+    """The documents with the node of each one's set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            node = [digest(s, seed)[0] for s in shingle_sets(Words(col(part, "text")), SHINGLE)]
+            yield pa.record_batch([*part.columns, pa.array(node, pa.int64())], [*part.schema.names, name])
+
+    return docs.mapInArrow(run, docs.withColumn(name, F.lit(None).cast("long")).schema)
+
+
+def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id that links reach)."""
+    return grouped(docs, percent).select("doc_id", "n_shingles", "component_id")

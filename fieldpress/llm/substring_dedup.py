@@ -2,23 +2,27 @@
 
 Two kinds of paragraphs are compared. Lines of at least `LEAST` words, and blocks of several lines between
 blank lines, which may be wrapped differently or changed in every line, find near copies: their signature is
-the minima of `BANDS * ROWS` hash functions over five-word shingles, 18 bands of 4 rows bring together
-99.992 % of the pairs at similarity 0.8, colliding paragraphs are joined key by key as stars, verified by exact
+the minima of `BANDS * ROWS` hash functions over five-word shingles, 16 bands of 3 rows bring together
+99.999 % of the pairs at similarity 0.8, colliding paragraphs are joined key by key, verified by exact
 Jaccard similarity, and clustered by connected components. Passages that were pasted into other text
 share no line, so texts are also cut into passages at the minima of their two-word hashes in windows of
 `PANE` words: wherever a run of words repeats, so do the cuts in it. A passage is three neighbouring
-pieces, and a cluster is its equals; a repeated run of 51 words is found but for 2 * PANE words at most.
+pieces, and a cluster is its equals, told by 64-bit hashes of all its words; a run long enough to be removed
+has several passages that lie over one another, so one false equal removes nothing. A repeated run of 51
+words is found but for 2 * PANE words at most.
 
 Of a cluster with members in two documents or more, the one of the smallest (doc_id, first word) stays. The
 others are found too, whatever their length, but are removed only where repeated paragraphs with at most
 `GAP` words between them make a run of at least `RUN` words: a single common short line stays in the text.
 
-Both kinds are matched as packed keys; a paragraph becomes a row only if its key was found twice.
+Texts are read once for all keys and places: band keys and passages are matched as packed entries (see
+`matching`), and a passage becomes a row only if its key was found twice. The sets of colliding paragraphs
+are made in a second reading, from one document each.
 
-Defined cases: null or empty text has no paragraphs; rows that repeat a doc_id count as one document; a row
-without a doc_id is left as it is; an empty table gives no rows; other columns are kept by `deduplicated`,
-which replaces the text and drops documents left without a word; words are `[^\\x20\\x09-\\x0D]+`,
-lower-cased A-Z.
+Defined cases: null or empty text has no paragraphs; rows that repeat a doc_id count as one document, and
+`deduplicated` leaves them as they are if their texts differ; a row without a doc_id is left as it is; an empty
+table gives no rows; other columns, whatever their names, are kept by `deduplicated`, which replaces the text and
+drops documents left without a word; words are `[^\\x20\\x09-\\x0D]+`, lower-cased A-Z.
 """
 
 from __future__ import annotations
@@ -32,12 +36,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldpress.llm.bytewords import Words, grams, mix, randoms
-from fieldpress.llm.components import components
-from fieldpress.llm.jaccard_join import HELD_KEYS, MATCHED_DDL, SALTS, Keys, links, match, parts_of, sketch
-from fieldpress.llm.shared import BROADCAST_BYTES, bounded_batches, checkpointed, col, materialise, slices, texts_of
+from fieldpress.llm.jaccard_join import links, sets_batch, sets_of
+from fieldpress.llm.matching import HELD_KEYS, Entries, dealt, parts_in_order, parts_of
+from fieldpress.llm.shared import bounded_batches, checkpointed, col, discard, fresh, hinted, materialise, slices, texts_of
 
-SHINGLE, LEAST, BANDS, ROWS = 5, 5, 18, 4
+SHINGLE, LEAST, BANDS, ROWS = 5, 5, 16, 3
 PANE, RUN, GAP = 10, 28, 4
+#: 64-bit words of a paragraph's parity sketch.
+SKETCH_WORDS = 16
 _WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
 
@@ -117,22 +123,30 @@ def passages(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return text[cuts[:-3]][good], cuts[:-3][good], (cuts[3:] - cuts[:-3])[good], node[good].view(np.int64)
 
 
-#: In the rows of `_collisions`, `n` of a pair of documents that share the paragraph `key`.
-SAME = -1
+#: Kinds of rows that are dealt: members of a band key, ready and others; places of passages, ready and others; places of lines.
+KEYS_READY, KEYS, PASSAGES_READY, PASSAGES, LINES = range(5)
+#: Kinds of rows of `_collisions`.
+MEMBER, LINE, PASSAGE = range(3)
+FOUND_DDL = "kind int, key long, node long, doc_id long, first int, words int"
+PLACE = ["i8", "i8", "i4", "i4"]
 
 
 def _collisions(docs: DataFrame) -> DataFrame:
-    """Candidate pairs (key, a, b) of lines (n null) and pairs of documents (n = SAME) with an equal line or passage, key its node."""
+    """Members (key, node) of band keys that several paragraphs have; and places (node, doc_id, first, words) of all lines and of passages found twice."""
     spark = docs.sparkSession
-    tasks, parts = parts_of(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tasks, parts = parts_of(spark, 2 * size)
+    names = [f.split()[0] for f in FOUND_DDL.split(", ")]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        near, same, seen = Keys(parts), Keys(parts, shift=parts, kind=SAME), np.zeros(0, np.int64)
+        near, same, lines = Entries(parts, ["u8", "i8"], KEYS_READY, KEYS), Entries(parts, PLACE, PASSAGES_READY, PASSAGES), Entries(parts, PLACE, LINES, LINES)
+        seen = np.zeros(0, np.int64)
         for part in slices(batches):
             p = Lines(col(part, "text"))
             doc = col(part, "doc_id").to_numpy(zero_copy_only=False)
-            text, _, _, node = passages(p.words)
-            same.add(np.concatenate((node, p.node)).view(np.uint64), doc[np.concatenate((text, p.text))])
+            text, first, size, node = passages(p.words)
+            same.add(node, doc[text], first - p.words.bounds[text], size)
+            lines.add(p.node, doc[p.text], p.first - p.words.bounds[p.text], p.size)
             nodes, one = np.unique(p.node, return_index=True)
             new = ~np.isin(nodes, seen, assume_unique=True)
             seen = np.concatenate((seen, nodes[new])) if len(seen) < 1_000_000 else nodes
@@ -141,82 +155,58 @@ def _collisions(docs: DataFrame) -> DataFrame:
             for held in (near, same):
                 if held.size >= HELD_KEYS:
                     yield from held.out()
+            if lines.size >= 1 << 14:
+                yield from lines.all()
         yield from near.out()
         yield from same.out()
+        yield from lines.all()
 
-    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return match(batches, shift=parts, kind=SAME)
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, places = Entries(parts, ["u8", "i8"], KEYS_READY, KEYS), Entries(parts, PLACE, PASSAGES_READY, PASSAGES)
+        for kind, blobs in parts_in_order(batches, {KEYS, PASSAGES}):
+            own = pairs if kind <= KEYS else places
+            columns = own.joined(blobs) if kind in (KEYS, PASSAGES) else own.unpacked(blobs[0])
+            mark = MEMBER if kind <= KEYS else LINE if kind == LINES else PASSAGE
+            for a in range(0, len(columns[0]), 100_000):
+                c = [x[a : a + 100_000] for x in columns]
+                none = lambda t, n=len(c[0]): pa.nulls(n, t)
+                rest = [pa.array(c[0].view(np.int64)), pa.array(c[1]), none(pa.int64()), none(pa.int32()), none(pa.int32())] if mark == MEMBER else [none(pa.int64()), *map(pa.array, c)]
+                yield pa.record_batch([pa.array(np.full(len(c[0]), mark, np.int32)), *rest], names)
 
-    sent = docs.mapInArrow(emit, MATCHED_DDL).repartition(tasks, "part")
-    return materialise(sent.mapInArrow(matching, MATCHED_DDL).select("key", "a", "b", "n"), "collisions")
-
-
-def _bounded(ids: DataFrame):
-    """A broadcast of a column of distinct longs, sorted, if it is within the bound."""
-    if ids.count() * 8 > BROADCAST_BYTES:
-        return None
-    return ids.sparkSession.sparkContext.broadcast(np.sort(np.concatenate([np.zeros(0, np.int64), *(c.to_numpy() for c in ids.toArrow().column(0).chunks)])))
-
-
-def _places(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, doc_id, first, words) of every occurrence of the wanted lines and passages."""
-    ids = checkpointed(wanted.select("node").distinct())
-    shared = _bounded(ids)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            p = Lines(col(part, "text"))
-            text, first, size, node = (np.concatenate(x) for x in zip(passages(p.words), (p.text, p.first, p.size, p.node), strict=True))
-            if shared is not None:
-                have = shared.value
-                at = np.minimum(np.searchsorted(have, node), max(0, len(have) - 1))
-                good = have[at] == node if len(have) else np.zeros(len(node), bool)
-                text, first, size, node = text[good], first[good], size[good], node[good]
-            doc = col(part, "doc_id").to_numpy(zero_copy_only=False)[text]
-            yield pa.record_batch([pa.array(node), pa.array(doc), pa.array(first - p.words.bounds[text]), pa.array(size)], ["node", "doc_id", "first", "words"])
-
-    found = docs.mapInArrow(run, "node long, doc_id long, first long, words long")
-    return found if shared is not None else found.join(ids, "node", "left_semi")
+    return materialise(dealt(docs, emit, tasks, match, FOUND_DDL), "collisions")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, n, sketch, tokens) of the wanted nodes."""
-    spark = docs.sparkSession
-    ids = checkpointed(wanted.select("node").distinct())
-    shared = _bounded(ids)
+    """(node, n, sketch, tokens) of the wanted lines (node, doc_id)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for part in slices(batches):
-            p = Lines(col(part, "text"))
-            pick = np.arange(len(p.node)) if shared is None else np.flatnonzero(np.isin(p.node, shared.value))
-            nodes = {n: i for n, i in zip(p.node[pick].tolist(), pick.tolist(), strict=True) if n not in seen}
-            if len(seen) < 1_000_000:
-                seen.update(nodes)
-            sets = [p.tokens(i) for i in nodes.values()]
-            yield pa.record_batch([pa.array(list(nodes), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "n", "sketch", "tokens"])
+    def make(part: pa.RecordBatch, pick) -> pa.RecordBatch:
+        p = Lines(col(part, "text"))
+        good = np.flatnonzero(pick(p.node, col(part, "doc_id").to_numpy(zero_copy_only=False)[p.text]))
+        good = good[np.unique(p.node[good], return_index=True)[1]].tolist()
+        return sets_batch(p.node[good].tolist(), [p.tokens(i) for i in good], SKETCH_WORDS)
 
-    found = docs.mapInArrow(run, "node long, n long, sketch array<long>, tokens binary")
-    found = found if shared is not None else found.join(ids, "node", "left_semi")
-    return materialise(found.dropDuplicates(["node"]), "paragraph-sets")
+    return sets_of(docs, wanted, make)
 
 
-def repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """Every occurrence of a repeated line, block or passage: doc_id, first, upto (words), run, source_doc_id (the cluster's smallest), removed (not the cluster's first, in a run of `RUN` words)."""
+def repeats(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, list[DataFrame]]:
+    """Every occurrence of a repeated line, block or passage: doc_id, first, upto (words), run, source_doc_id (the cluster's smallest), removed (not the cluster's first, in a run of `RUN` words); and the tables behind it."""
     bounded_batches(docs.sparkSession)
     texts = texts_of(docs, "doc_id").where("doc_id IS NOT NULL")
     rows = _collisions(texts)
-    candidates = rows.where("n IS NULL").select("key", "a", "b")
-    nodes = candidates.select(F.col("a").alias("node")).union(candidates.select(F.col("b").alias("node")))
-    of = checkpointed(components(links(candidates, _sets(texts, nodes), percent)))
-    wanted = rows.where(F.col("n") == SAME).select(F.col("key").alias("node")).union(of.select("node"))
-    each = materialise(_places(texts, wanted).distinct(), "places")
+    members = rows.where(F.col("kind") == MEMBER).select("key", "node")
+    nodes = hinted(checkpointed(members.select("node").distinct()))
+    wanted = checkpointed(rows.where(F.col("kind") == LINE).join(nodes, "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")))
+    sets = _sets(texts, wanted)
+    of = links(members, sets, percent)
+    discard(sets)
+    each = rows.where(F.col("kind") != MEMBER).select("node", "doc_id", F.col("first").cast("long").alias("first"), F.col("words").cast("long").alias("words"))
     kinds = each.groupBy("node").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "first")).alias("keeper"))
-    kinds = checkpointed(kinds.join(of, "node", "left").select("node", F.coalesce("component", "node").alias("cluster"), "low", "high", "keeper"))
-    clusters = kinds.groupBy("cluster").agg(F.min("low").alias("source_doc_id"), F.max("high").alias("high"), F.min("keeper").alias("keeper")).where("source_doc_id <> high").drop("high")
-    named = kinds.select("node", "cluster").join(clusters, "cluster").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)).cast("int"))
-    found = salted.join(named, ["node", "salt"])
+    kinds = materialise(kinds.join(hinted(of), "node", "left").where("component IS NOT NULL OR low <> high"), "kinds")
+    alone = kinds.where("component IS NULL").select("node", F.col("low").alias("source_doc_id"), "keeper")
+    several = kinds.where("component IS NOT NULL")
+    merged = several.groupBy("component").agg(F.min("low").alias("source_doc_id"), F.max("high").alias("most"), F.min("keeper").alias("keeper")).where("source_doc_id <> most")
+    named = alone.union(several.select("node", "component").join(hinted(checkpointed(merged)), "component").select("node", "source_doc_id", "keeper"))
+    found = each.join(named, "node")  # a passage that very many documents have: adaptive execution splits its rows
     stays = (F.col("doc_id") == F.col("keeper.doc_id")) & (F.col("first") == F.col("keeper.first"))
     found = found.select("doc_id", "first", (F.col("first") + F.col("words")).alias("upto"), "source_doc_id", (~stays).alias("removed"))
     ordered = Window.partitionBy("doc_id").orderBy("first", "upto")
@@ -225,12 +215,12 @@ def repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = found.withColumn("run", F.sum("new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
     whole = Window.partitionBy("doc_id", "run")
     found = found.withColumn("size", F.max("upto").over(whole) - F.min("first").over(whole))
-    return found.withColumn("removed", F.col("removed") & (F.col("size") >= RUN)).drop("new", "size")
+    return found.withColumn("removed", F.col("removed") & (F.col("size") >= RUN)).drop("new", "size"), [rows, kinds]
 
 
 def repeated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per run of repeated words: doc_id, first_word, n_words, removed_words, source_doc_ids (the smallest documents of its clusters)."""
-    found = repeats(docs, percent)
+    found, _ = repeats(docs, percent)
     spans = F.sort_array(F.collect_set(F.when(F.col("removed"), F.struct("first", "upto"))))
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("at"))
     covered = F.aggregate(spans, start, lambda s, x: F.struct((s["total"] + F.greatest(F.lit(0).cast("long"), x["upto"] - F.greatest(x["first"], s["at"]))).alias("total"), F.greatest(s["at"], x["upto"]).alias("at")))
@@ -256,13 +246,20 @@ def without(text: str, gone: list[tuple[int, int]]) -> str:
 
 def deduplicated(docs: DataFrame, percent: int = 80) -> DataFrame:
     """The documents without their removed words; those left without a word are dropped."""
-    gone = repeats(docs, percent).where("removed").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set(F.array("first", "upto")).alias("__gone"))
     names = docs.columns
-    both = docs.join(gone, docs["doc_id"] == gone["__doc"], "left").select(*[docs[c] for c in names], "__gone")
+    doc, spans = fresh(names, "removed_doc"), fresh([*names, "removed_doc"], "removed_spans")
+    found, behind = repeats(docs, percent)
+    gone = found.where("removed").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.array("first", "upto"))).alias("spans"))
+    digest = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    differ = docs.select(docs["doc_id"].alias("doc_id"), digest.alias("h")).groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low <> high").select("doc_id")
+    gone = materialise(gone.join(hinted(checkpointed(differ)), "doc_id", "left_anti"), "gone")
+    discard(*behind)
+    gone = gone.select(F.col("doc_id").alias(doc), F.col("spans").alias(spans))
+    both = docs.join(gone, docs["doc_id"] == gone[doc], "left").select(*[docs[c] for c in names], spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            gone = col(part, "__gone").to_pylist()
+            gone = col(part, spans).to_pylist()
             texts = [t if g is None or t is None else without(t, g) for t, g in zip(col(part, "text").to_pylist(), gone, strict=True)]
             keep = pa.array([g is None or bool(_WORD.search(t or "")) for t, g in zip(texts, gone, strict=True)], pa.bool_())
             yield pa.record_batch([pa.array(texts, pa.string()) if c == "text" else col(part, c) for c in names], names).filter(keep)

@@ -106,13 +106,19 @@ def digest(tokens: np.ndarray, seed: int = 0) -> tuple[int, int]:
     return np.uint64(a).astype(np.int64).item(), np.uint64(b).astype(np.int64).item()
 
 
-def sketch(tokens: np.ndarray, words: int = SKETCH_WORDS) -> np.ndarray:
-    """A parity sketch: each token flips one bit."""
+def sketch(tokens: np.ndarray, least: int = SKETCH_WORDS) -> np.ndarray:
+    """A parity sketch: each token flips one bit of two per token, a power of two words and `least` at least."""
+    words = max(least, 1 << (max(1, len(tokens)) // 32).bit_length())
     bit = (mix(tokens) >> np.uint64(32)) % np.uint64(64 * words)
     flips = np.bincount(bit.astype(np.int64), minlength=64 * words) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Sketches (rows) as ones of fewer words, those that the same tokens would give."""
+    return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
+
+
 def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Sorted shingles that many documents have, by lossy counts over all of them, a help for speed alone; and the bytes of all texts."""
 
@@ -256,21 +262,35 @@ def sets_of(docs: DataFrame, wanted: DataFrame, make) -> DataFrame:
     return once
 
 
+def likely(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+    """The pairs (a, b) that sizes and parity sketches let pass."""
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    both = side("b").join(side("a").join(hinted(checkpointed(pairs)), "a"), "b").where(sizes).select("a", "b", "na", "nb", "ka", "kb")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
+            apart = np.zeros(len(a), np.int64)
+            for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+                x, y = (z.values.to_numpy().view(np.uint64)[None] for z in (x, y))
+                words = min(x.shape[1], y.shape[1])
+                apart[i] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()
+            good = (100 + percent) * apart <= (100 - percent) * (n + m)
+            yield pa.record_batch([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+
+    return checkpointed(both.mapInArrow(test, "a long, b long"))
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union.
+    """The likely pairs (a, b) whose sets have 100 * intersection >= percent * union.
 
-    Sizes and parity sketches sort out most others first. A pair goes to a unit of its first node and a
-    salt of the second, so that a node with many partners is dealt to many tasks, with its set sent once to each.
+    A pair goes to a unit of its first node and a salt of the second, so that a node with many partners is
+    dealt to many tasks, with its set sent once to each.
     """
-    small = sets.select("node", "n", "sketch")
-    side = lambda s: small.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))
-    apart = F.aggregate(F.zip_with("ka", "kb", lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
-    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    pairs = hinted(checkpointed(pairs))
-    likely = checkpointed(side("b").join(side("a").join(pairs, "a"), "b").where(sizes).where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"))
-    units = likely.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("long").alias("units"))
-    likely = likely.join(units, "a").select("a", "b", F.pmod(F.xxhash64("b"), "units").alias("salt"))
-    members = checkpointed(likely.select("a", "salt", F.col("b").alias("node")).union(likely.select("a", "salt", F.col("a").alias("node")).distinct()))
+    units = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / UNIT).cast("long").alias("units"))
+    salted = pairs.join(units, "a").select("a", "b", F.pmod(F.xxhash64("b"), "units").alias("salt"))
+    members = checkpointed(salted.select("a", "salt", F.col("b").alias("node")).union(salted.select("a", "salt", F.col("a").alias("node")).distinct()))
     loaded = sets.select("node", "tokens").join(hinted(members), "node")
 
     def check(table: pa.Table) -> pa.Table:
@@ -303,7 +323,13 @@ def crossed(members: DataFrame, sets: DataFrame, percent: int, forest: bool) ->
 
     def test(table: pa.Table) -> pa.Table:
         node, of, block, n = (table.column(c).to_numpy() for c in ("node", "of", "block", "n"))
-        bits = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
+        sketches = [x.values.to_numpy().view(np.uint64) for x in table.column("sketch")]
+        words = np.array([len(x) for x in sketches])
+        bits = {}
+        for w in np.unique(words).tolist():  # all that are as wide, or folded to it
+            bits[w] = np.zeros((len(node), w), np.uint64)
+            for k in np.flatnonzero(words >= w).tolist():
+                bits[w][k] = folded(sketches[k][None], w)[0]
         key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         label, left_out = np.unique(of, return_inverse=True)[1], 0
@@ -314,7 +340,8 @@ def crossed(members: DataFrame, sets: DataFrame, percent: int, forest: bool) ->
                 y = y[node[y] > node[x]]
             if not len(y):
                 continue
-            distance = np.bitwise_count(bits[y] ^ bits[x]).sum(axis=1, dtype=np.int64)
+            own = bits[min(int(words[x]), int(words[y].min()))]
+            distance = np.bitwise_count(own[y] ^ own[x]).sum(axis=1, dtype=np.int64)
             y = y[(100 + percent) * distance <= (100 - percent) * (n[y] + n[x])]
             if forest and len(y):
                 passed = len(y)
@@ -334,25 +361,27 @@ def crossed(members: DataFrame, sets: DataFrame, percent: int, forest: bool) ->
 def links(members: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
     """(node, component) of all links between members (key, node) of a common key.
 
-    Of keys with the same members one is enough. Each member is verified against its key's smallest first,
-    which settles keys of two. While members of a key of more than `CROSS` are in several components, a pivot of
+    Of keys with the same members one is enough. Each node is first verified against the smallest node that is the
+    smallest of one of its keys and likely to be like it. While members of a key of more than `CROSS` are in several components, a pivot of
     it, another one in each of `PIVOTS` turns, is tested against its members of other components, so very large
     groups that are alike merge by pairs as many as they have members. What then is apart is tested in full: a
     forest of the pairs that pass is verified first, and what is left of them once that has merged components.
     """
     h = F.xxhash64("node")
     alike = ["size", "total", "parity", "low"]
-    members = members.distinct()
-    marked = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(h % (1 << 40)).alias("total"), F.bit_xor(h).alias("parity"), F.min("node").alias("low")).where("size > 1")
-    members = materialise(members.join(marked.groupBy(*alike).agg(F.min("key").alias("key")).select("key", "size", "low"), "key"), "members")
-    of = checkpointed(components(verified(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)))
+    every = materialise(members.distinct(), "members")
+    marked = every.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum(h % (1 << 40)).alias("total"), F.bit_xor(h).alias("parity"), F.min("node").alias("low")).where("size > 1")
+    members = materialise(every.join(marked.groupBy(*alike).agg(F.min("key").alias("key")).select("key", "size", "low"), "key"), "members")
+    discard(every)
+    first = likely(members.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
+    of = checkpointed(components(verified(first.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets, percent)))
     large = members.where(F.col("size") > CROSS).select("key", "node")
     for turn in range(PIVOTS if large.take(1) else 0):
         own = apart(large, of, turn)
         pairs = own.where("of <> pivot.of").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
-        of = checkpointed(components(of.union(verified(pairs, sets, percent))))
+        of = checkpointed(components(of.union(verified(likely(pairs, sets, percent), sets, percent))))
         large = own.select("key", "node")
-    rest = members.where("size > 2").select("key", "node")
+    rest = members.select("key", "node")
     for forest in (True, False):
         own = apart(rest, of, PIVOTS)
         pairs = checkpointed(crossed(own, sets, percent, forest))

@@ -6,6 +6,9 @@ so windows are bounded; what crosses chunks (a chunk's last value, or its sum) i
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,8 @@ from fieldpress.functions import numeric as N
 from fieldpress.operators.space import Codec, FieldInfo
 
 CHUNK = 1 << 20
+#: Values that are fetched and sorted once a quantile is bracketed.
+HELD = 1 << 16
 
 
 def field_stats(df: DataFrame, value: str = "value", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -21,10 +26,52 @@ def field_stats(df: DataFrame, value: str = "value", keys: tuple[str, ...] = ())
     return df.groupBy(*keys).agg(F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.count(F.lit(1)).alias("n"))
 
 
-def linear_width(df: DataFrame, value: str = "value", quantile: float = 0.01, floor: float | None = None, cap: float | None = None) -> DataFrame:
-    """The quantile of |x| over finite cells, interpolated, clipped if asked."""
+def ranked(x: DataFrame, rank: int, n: int, held: int | None = None) -> float:
+    """The value of a 0-based rank among the `n` values of x, exact, without gathering them.
+
+    Approximate percentiles bracket the rank and a count tells how many values lie below, until few lie
+    inside; what an aggregation holds is bounded by the accuracy asked for, not by the values.
+    """
+    held = HELD if held is None else held
+    low, high, below, inside, accuracy = -math.inf, math.inf, 0, n, 10_000
+    while inside > held and low < high:
+        part = x.where(F.col("x").between(low, high))
+        at, off = (rank - below) / inside, 2 / accuracy
+        a, b = part.agg(F.percentile_approx("x", [max(0.0, at - off), min(1.0, at + off)], accuracy)).first()[0]
+        under, upto = part.agg(F.count_if(F.col("x") < a), F.count_if(F.col("x") <= b)).first()
+        if not under <= rank - below < upto:
+            a, b, under, upto = low, high, 0, inside
+        if (a, b) == (low, high):  # very many equal values at the lower end: past them, or one of them
+            a = part.agg(F.min("x")).first()[0]
+            upto = part.agg(F.count_if(F.col("x") == a)).first()[0]
+            if rank - below < upto:
+                return a
+            a, under, upto = math.nextafter(a, math.inf), upto, inside
+        low, high, below, inside = a, b, below + under, upto - under
+    if low == high:
+        return low
+    values = np.sort(x.where(F.col("x").between(low, high)).toArrow().column(0).to_numpy())
+    return float(values[rank - below])
+
+
+def quantile(df: DataFrame, column: Column, q: float) -> float | None:
+    """The interpolated quantile of a column's values, nulls left out; None if there are none."""
+    x = df.select(column.alias("x")).where("x IS NOT NULL")
+    n = x.count()
+    if not n:
+        return None
+    at = q * (n - 1)
+    low = ranked(x, math.floor(at), n)
+    upto, above = x.agg(F.count_if(F.col("x") <= low), F.min(F.when(F.col("x") > low, F.col("x")))).first()
+    high = low if upto > math.floor(at) + 1 or above is None else above
+    return low + (high - low) * (at - math.floor(at))
+
+
+def linear_width(df: DataFrame, value: str = "value", q: float = 0.01, floor: float | None = None, cap: float | None = None) -> DataFrame:
+    """The quantile of |x| over finite cells, interpolated, clipped if asked; one row."""
     x = F.col(value).cast("double")
-    return df.agg(N.clip(F.percentile(F.when(N.finite(x), F.abs(x)), quantile), floor, cap).alias("linear_width"))
+    width = quantile(df, F.when(N.finite(x), F.abs(x)), q)
+    return df.sparkSession.createDataFrame([(width,)], "w double").select(N.clip(F.col("w"), floor, cap).alias("linear_width"))
 
 
 def field_info(df: DataFrame, dtype: str, value: str = "value", shape: tuple[int, ...] = ()) -> FieldInfo:
@@ -33,8 +80,8 @@ def field_info(df: DataFrame, dtype: str, value: str = "value", shape: tuple[int
         return FieldInfo(dtype, shape=shape)
     x = F.col(value).cast("double")
     k = N.known(x)
-    r = df.agg(F.avg(k).alias("mean"), F.stddev_pop(k).alias("std"), F.min(k).alias("low"), F.max(k).alias("high"), F.percentile(F.when(N.finite(x), F.abs(x)), 0.01).alias("width")).first()
-    return FieldInfo(dtype, r.mean, r.std, r.low, r.high, r.width, shape)
+    r = df.agg(F.avg(k).alias("mean"), F.stddev_pop(k).alias("std"), F.min(k).alias("low"), F.max(k).alias("high")).first()
+    return FieldInfo(dtype, r.mean, r.std, r.low, r.high, quantile(df, F.when(N.finite(x), F.abs(x)), 0.01), shape)
 
 
 def _chunked(df: DataFrame, index: str, chunk: int) -> DataFrame:

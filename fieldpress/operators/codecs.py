@@ -3,8 +3,8 @@
 Cells become chunk rows (little-endian bytes of one type) by flat position. A task encodes each chunk
 with every configuration of its list, sharing what configurations have in common: each filter is
 applied once per chunk, its bytes and its errors are made once, and only compressors run for each
-configuration. Compressors are lossless, so errors belong to the filter alone; with a limit, a filter
-whose errors exceed it is settled before any compressor runs.
+configuration. Compressors are lossless, so errors belong to filter and serializer alone, a configuration's
+front; with a limit, a first pass (`errors`) finds the fronts whose errors exceed it, and no compressor runs for them.
 
 LZ4 has no acceleration here and Blosc is a byte shuffle before its inner codec, so their sizes are
 approximations; `APPROXIMATE` lists them.
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fieldpress.operators import serializers
 from fieldpress.operators.space import Codec
 
 APPROXIMATE = ("Blosc", "LZ4")
@@ -160,34 +161,103 @@ def chunked(df: DataFrame, dtype: str, index: str = "idx", value: str = "value",
 PARTIAL = "ordinal long, raw_bytes long, enc_bytes long, sum_abs_e double, sum_abs_x double, sum_sq_e double, sum_sq_x double, max_abs_e double, max_abs_x double"
 
 
-def sweep(chunks: DataFrame, dtype: str, configs: list[tuple[int, Codec | None, Codec | None]], split: int = 8) -> DataFrame:
-    """Partial sizes and errors of (ordinal, compressor, filter) configurations, per chunk and part of the list.
+ERRORS = PARTIAL.split(", ")[3:]
+#: Filter and serializer of a configuration.
+Front = tuple[Codec | None, Codec | None]
 
-    `split` parts of the list, by filter, run as separate rows, so one large chunk keeps several tasks busy.
+
+def front_encode(x: np.ndarray, front: Front) -> bytes:
+    filt, ser = front
+    c = np.ascontiguousarray(filter_encode(x, filt))
+    return c.tobytes() if ser is None else serializers.encode(c, ser)
+
+
+def front_decode(body: bytes, front: Front, kind: np.dtype) -> np.ndarray:
+    filt, ser = front
+    return filter_decode(np.frombuffer(body, kind) if ser is None else serializers.decode(body, ser, kind), filt)
+
+
+def _errors(x: np.ndarray, front: Front) -> tuple[bytes, tuple[float, ...]]:
+    """A chunk's bytes before compression, and its sums and maxima of errors and values."""
+    body = front_encode(x, front)
+    wide = x.astype(np.float64)
+    e, wide = np.abs(front_decode(body, front, x.dtype).astype(np.float64) - wide), np.abs(wide)
+    return body, (float(e.sum()), float(wide.sum()), float((e**2).sum()), float((wide**2).sum()), float(e.max(initial=0)), float(wide.max(initial=0)))
+
+
+def errors(chunks: DataFrame, dtype: str, fronts: list[Front]) -> DataFrame:
+    """Partial errors of each front, by its number in the list, per chunk."""
+    kind = np.dtype(NUMPY[dtype])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                x = np.frombuffer(raw.as_py(), kind)
+                rows = [(i, *_errors(x, f)[1]) for i, f in enumerate(fronts)]
+                yield pa.record_batch([pa.array(v) for v in zip(*rows, strict=True)], ["front", *(c.split()[0] for c in ERRORS)])
+
+    return chunks.select("payload").mapInArrow(run, ", ".join(["front long", *ERRORS]))
+
+
+def sweep(chunks: DataFrame, dtype: str, configs: list[tuple[int, Codec | None, Front]], split: int = 1) -> DataFrame:
+    """Partial sizes and errors of (ordinal, compressor, front) configurations, per chunk and part of the list.
+
+    A field of fewer chunks than there are tasks to keep busy is dealt out `split` times, each time for
+    another part of the list, by front; with more chunks nothing is copied or shuffled.
     """
     kind = np.dtype(NUMPY[dtype])
-    by_filter: dict[Codec | None, list[tuple[int, Codec | None]]] = {}
-    for ordinal, comp, filt in configs:
-        by_filter.setdefault(filt, []).append((ordinal, comp))
-    work = [(f, own[i::n]) for f, own in by_filter.items() for n in [max(1, min(len(own), -(-len(own) // 12)))] for i in range(n)]
+    by_front: dict[Front, list[tuple[int, Codec | None]]] = {}
+    for ordinal, comp, front in configs:
+        by_front.setdefault(front, []).append((ordinal, comp))
+    work = [(f, own[i::n]) for f, own in by_front.items() for n in [max(1, min(len(own), -(-len(own) // 12)))] for i in range(n)]
     split = max(1, min(split, len(work)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part, payload = batch.column(0).to_pylist(), batch.column(1)
             for p, raw in zip(part, payload, strict=True):
-                x = np.frombuffer(raw.as_py(), kind)
-                wide = np.abs(x.astype(np.float64))
-                sums = float(wide.sum()), float((wide**2).sum()), float(wide.max(initial=0))
-                rows = []
-                for filt, own in work[p::split]:
-                    c = np.ascontiguousarray(filter_encode(x, filt))
-                    body = c.tobytes()
-                    e = np.abs(filter_decode(c, filt).astype(np.float64) - x.astype(np.float64))
-                    errors = float(e.sum()), sums[0], float((e**2).sum()), sums[1], float(e.max(initial=0)), sums[2]
-                    rows += [(ordinal, x.nbytes, len(compress(body, comp, kind.itemsize)), *errors) for ordinal, comp in own]
+                x, rows = np.frombuffer(raw.as_py(), kind), []
+                for front, own in work[p::split]:
+                    body, found = _errors(x, front)
+                    rows += [(ordinal, x.nbytes, len(compress(body, comp, kind.itemsize)), *found) for ordinal, comp in own]
                 if rows:
                     yield pa.record_batch([pa.array(v) for v in zip(*rows, strict=True)], [f.split()[0] for f in PARTIAL.split(", ")])
 
+    if split == 1:
+        return chunks.select(F.lit(0).alias("part"), "payload").mapInArrow(run, PARTIAL)
     parts = chunks.select(F.explode(F.sequence(F.lit(0), F.lit(split - 1))).alias("part"), "payload", "chunk")
     return parts.repartition(F.col("chunk"), F.col("part")).select("part", "payload").mapInArrow(run, PARTIAL)
+
+
+def round_trips(chunks: DataFrame, dtype: str, comps: list[Codec | None]) -> DataFrame:
+    """(comp_idx, n_cells, n_equal) of each chunk: cells that are the same, bit by bit, after encoding and decoding."""
+    kind = np.dtype(NUMPY[dtype])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in (x.as_py() for x in batch.column(0)):
+                x = np.frombuffer(raw, f"u{kind.itemsize}")
+                back = [np.frombuffer(decompress(compress(raw, c, kind.itemsize), c, len(raw), kind.itemsize), x.dtype) for c in comps]
+                equal = [int((y == x).sum()) if len(y) == len(x) else 0 for y in back]
+                yield pa.record_batch([pa.array(range(len(comps)), pa.int32()), pa.array([len(x)] * len(comps), pa.int64()), pa.array(equal, pa.int64())], ["comp_idx", "n_cells", "n_equal"])
+
+    return chunks.select("payload").mapInArrow(run, "comp_idx int, n_cells long, n_equal long")
+
+
+def bounds_kept(chunks: DataFrame, dtype: str, sers: list[Codec]) -> DataFrame:
+    """(ser_idx, n_cells, n_within) of each chunk: cells that a serializer gives back within its bound."""
+    kind = np.dtype(NUMPY[dtype])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw in batch.column(0):
+                x = np.frombuffer(raw.as_py(), kind)
+                good = [int((np.abs(serializers.decode(serializers.encode(x, c), c, kind) - x) <= serializers.bound(x, c)).sum()) for c in sers]
+                yield pa.record_batch([pa.array(range(len(sers)), pa.int32()), pa.array([len(x)] * len(sers), pa.int64()), pa.array(good, pa.int64())], ["ser_idx", "n_cells", "n_within"])
+
+    return chunks.select("payload").mapInArrow(run, "ser_idx int, n_cells long, n_within long")
+
+
+def split_for(spark, n_chunks: int) -> int:
+    """How often to deal out a field of few chunks, so that there are two tasks for each core."""
+    return max(1, -(-2 * spark.sparkContext.defaultParallelism // max(1, n_chunks)))

@@ -1,8 +1,7 @@
 """The search space: compressors, filters and serializers with their indices, and configurations as a DataFrame.
 
-Indices are what users pass back to `compress`, so enumeration order matters. Codecs whose libraries are
-not part of this engine (PCodec, ZFP, EBCC) are enumerated with `available = False`: their indices stay
-valid, and sweeps report how many configurations they leave out.
+Indices are what users pass back to `compress`, so enumeration order matters. A codec that can't run here
+would be enumerated with `available = False`: its index stays valid, and sweeps leave it out.
 """
 
 from __future__ import annotations
@@ -160,14 +159,14 @@ def filter_space(info: FieldInfo, flags: Flags = Flags()) -> list[tuple[int, Cod
 
 
 def serializer_space(info: FieldInfo, flags: Flags = Flags()) -> list[tuple[int, Codec | None]]:  # noqa: B008
-    gone = lambda family, **kw: Codec(family, tuple(kw.items()), available=False)
+    made = lambda family, **kw: Codec(family, tuple(kw.items()))
     modes = [("rate", fixed_rate)] if info.dtype in INTEGERS else [("tolerance", fixed_accuracy), ("precision", fixed_precision), ("rate", fixed_rate)]
-    zfp = lambda family: [gone(family, **{key: value(k)}) for key, value in modes for k in range(3)]
-    families: dict[str, list] = {"PCodec": [gone("PCodec", level=n, delta_encoding_order=o) for n in PCODEC_LEVELS for o in PCODEC_ORDERS]}
+    zfp = lambda family: [made(family, **{key: value(k)}) for key, value in modes for k in range(3)]
+    families: dict[str, list] = {"PCodec": [made("PCodec", level=n, delta_encoding_order=o) for n in PCODEC_LEVELS for o in PCODEC_ORDERS]}
     if flags.lossy:
         families["ZFPY"] = zfp("ZFPY")
         if flags.ebcc:
-            families["EBCCZarrFilter"] = [gone("EBCCZarrFilter", base_cr=EBCC_BASE_RATIO, atol=t) for t in EBCC_TOLERANCES]
+            families["EBCCZarrFilter"] = [made("EBCCZarrFilter", base_cr=EBCC_BASE_RATIO, atol=t) for t in EBCC_TOLERANCES]
         if flags.wasm:
             families["Zfp"] = zfp("Zfp")
     return list(enumerate(_pick(families, flags.serializer)))

@@ -20,6 +20,8 @@ from fieldpress.operators.metrics import ERRORS, cluster_count, error_column, fi
 
 SEED, ELBOW = 0, range(3, 10)
 BLOCK_ROWS = 4096
+#: Points whose distances are all made; a search space has 42,976 results.
+SILHOUETTE_MOST = 1 << 18
 
 
 def fit(points: DataFrame, x: str, y: str, k: int, seed: int = SEED) -> tuple[DataFrame, list[tuple[float, ...]], float]:
@@ -34,8 +36,10 @@ def fit(points: DataFrame, x: str, y: str, k: int, seed: int = SEED) -> tuple[Da
 
 
 def silhouette(points: DataFrame, x: str, y: str, label: str) -> DataFrame:
-    """One row, `silhouette`: the mean of (b - a) / max(a, b); a point alone in its cluster counts 0."""
+    """One row, `silhouette`: the mean of (b - a) / max(a, b); a point alone in its cluster counts 0. Every pair is made, so the points are bounded."""
     n = points.count()
+    if n > SILHOUETTE_MOST:
+        raise ValueError(f"the silhouette of {n} points needs all pairs of them; {SILHOUETTE_MOST} at most")
     blocks = max(1, -(-n // BLOCK_ROWS))
     own = points.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(label).cast("int").alias("c"), F.monotonically_increasing_id().alias("i"))
     own = own.withColumn("b", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))

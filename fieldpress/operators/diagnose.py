@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,22 @@ from fieldpress.functions.numeric import relative_error
 from fieldpress.operators.arrays import guard, is_lat_lon, roll
 
 
+def by_position(codec: Callable[[np.ndarray], np.ndarray], sizes: dict[str, int], dtype: str = "float64", rows: int = 1) -> Callable[[DataFrame], DataFrame]:
+    """A codec of arrays, as one of cells: applied to chunks of `rows` whole latitudes in flat order, as a store would."""
+    lat, lon = sizes
+
+    def apply(cells: DataFrame) -> DataFrame:
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by([(lat, "ascending"), (lon, "ascending")])
+            x = codec(table.column("value").to_numpy().astype(dtype))
+            return table.select([lat, lon]).append_column("value", pa.array(x.astype(np.float64)))
+
+        own = cells.select(F.floor(F.col(lat) / rows).alias("chunk"), F.col(lat).cast("long"), F.col(lon).cast("long"), F.col("value").cast("double"))
+        return own.groupBy("chunk").applyInArrow(run, f"{lat} long, {lon} long, value double")
+
+    return apply
+
+
 def periodicity_errors(cells: DataFrame, sizes: dict[str, int], codec: Callable[[DataFrame], DataFrame] | Callable[[Column], Column], dtype: str = "float64", columnwise: bool = True) -> DataFrame:
     """(lat, lon) with the field, its decoded and half-turned forms, and the errors between them.
 

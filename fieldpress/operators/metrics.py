@@ -7,7 +7,7 @@ import time
 from collections import defaultdict
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldpress.functions.numeric import decimal_comma, finite, safe_div
@@ -52,6 +52,15 @@ def threshold_lookup(fields: DataFrame, thresholds: DataFrame) -> DataFrame:
     return both.select(*fields.columns, F.when(F.col("row.unit") == fields["unit"], decimal_comma(F.col("row.existing_l1_error"))).alias("limit"))
 
 
+def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
+    """The table that `threshold_lookup` takes, from a CSV file with the columns Short Name, Unit and Existing L1 error."""
+    names = {"Short Name": "short_name", "Unit": "unit", "Existing L1 error": "existing_l1_error"}
+    table = spark.read.option("header", True).csv(path)
+    if gone := [c for c in names if c not in table.columns]:
+        raise ValueError(f"no column {', '.join(gone)} in {path}")
+    return table.select(F.monotonically_increasing_id().alias("line"), *[F.col(f"`{c}`").cast("string").alias(n) for c, n in names.items()])
+
+
 def best_combo(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """The row of the highest ratio; among equals, the lowest ordinal. Empty stays empty."""
     if not keys:

@@ -2,18 +2,20 @@
 
 `spark.read.format("zarr3").load(path)` gives (var, idx, value), a partition per chunk. Writing encodes chunk
 rows in tasks and puts each under its key; metadata are written by the driver once all chunks are there.
+A field is written with any filter and compressor of the search space. Codecs whose bytes another reader of
+the format understands carry the format's names; LZ4 and Blosc, whose containers differ here, and Asinh carry
+`fieldpress.` names and are read by this module alone. Stores are copied in tasks and zipped entry by entry.
 Paths are opened through `pyarrow.fs`, so stores may lie wherever driver and executors both reach.
 """
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
+import atexit
 import json
-import lzma
+import shutil
+import tempfile
+import uuid
 import zipfile
-import zlib
 from collections.abc import Iterator
 from itertools import product
 from math import ceil, prod
@@ -25,9 +27,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from fieldpress.operators import arrays, codecs, serializers
+from fieldpress.operators.space import Codec
+
 # Names of the format.
 META = "zarr.json"
 TYPES = {"float64": "<f8", "float32": "<f4", "int64": "<i8", "int32": "<i4", "int16": "<i2", "int8": "|i1", "uint8": "|u1", "uint16": "<u2", "uint32": "<u4", "uint64": "<u8"}
+NAMES = {"Zlib": "numcodecs.zlib", "GZip": "gzip", "BZ2": "numcodecs.bz2", "LZMA": "numcodecs.lzma", "Zstd": "zstd", "Delta": "numcodecs.delta", "BitRound": "numcodecs.bitround", "Quantize": "numcodecs.quantize", "FixedOffsetScale": "numcodecs.fixedscaleoffset"}
+SERIALIZERS = ("PCodec", "ZFPY", "Zfp", "EBCCZarrFilter")
+FAMILIES = {v: k for k, v in NAMES.items()} | {f"fieldpress.{f.lower()}": f for f in ("LZ4", "Blosc", "Asinh", *SERIALIZERS)}
+
+
+def described(codec: Codec, dtype: str) -> dict:
+    """A codec as the metadata name it."""
+    own = dict(codec.params)
+    if codec.family == "FixedOffsetScale":  # the format multiplies by its scale
+        own = {"offset": own["offset"], "scale": 1 / own["scale"], "dtype": TYPES[dtype], "astype": TYPES[dtype]}
+    elif codec.family in ("Delta", "Quantize"):
+        own["dtype"] = TYPES[dtype]
+    elif codec.family == "Zstd":
+        own = {"level": own["level"], "checksum": False}
+    elif codec.family in SERIALIZERS:
+        own["dtype"] = dtype
+    return {"name": NAMES.get(codec.family, f"fieldpress.{codec.family.lower()}"), "configuration": own}
+
+
+def understood(meta: dict) -> Codec:
+    """The codec that metadata name."""
+    name, own = meta["name"], dict(meta.get("configuration") or {})
+    if name == "numcodecs.gzip":
+        name = "gzip"
+    if name == "numcodecs.zstd":
+        name = "zstd"
+    if (family := FAMILIES.get(name)) is None:
+        raise ValueError(f"no decoder for Zarr codec {meta['name']}")
+    if family == "FixedOffsetScale":
+        own = {"offset": own["offset"], "scale": 1 / own["scale"]}
+    return Codec(family, tuple((k, v) for k, v in own.items() if k not in ("dtype", "astype", "checksum", "sized")))
 
 
 class Store:
@@ -36,7 +72,7 @@ class Store:
     def __init__(self, path: str):
         uri = path if "://" in path else f"file://{path}"
         self.fs, self.root = pa.fs.FileSystem.from_uri(uri)
-        self.zip = zipfile.ZipFile(io.BytesIO(self._read(self.root)) if not isinstance(self.fs, pa.fs.LocalFileSystem) else self.root) if path.endswith(".zip") else None
+        self.zip = zipfile.ZipFile(self.fs.open_input_file(self.root)) if path.endswith(".zip") else None
 
     def _read(self, path: str) -> bytes:
         with self.fs.open_input_file(path) as f:
@@ -78,20 +114,25 @@ def chunk_key(meta: dict, at: tuple[int, ...]) -> str:
 
 def unpack(meta: dict, body: bytes) -> np.ndarray:
     """A chunk's cells in C order, its codecs undone."""
-    for codec in reversed(meta["codecs"]):
-        name = codec["name"].removeprefix("numcodecs.")
-        if name == "bytes":
-            if codec.get("configuration", {}).get("endian", "little") != "little":
-                return np.frombuffer(body, np.dtype(TYPES[meta["data_type"]]).newbyteorder(">"))
-        elif name == "zstd":
-            import zstandard
-
-            body = zstandard.ZstdDecompressor().decompressobj().decompress(body)
-        elif name in ("gzip", "zlib", "bz2", "lzma"):
-            body = {"gzip": gzip, "zlib": zlib, "bz2": bz2, "lzma": lzma}[name].decompress(body)
+    kind = np.dtype(TYPES[meta["data_type"]])
+    size = prod(meta["chunk_grid"]["configuration"]["chunk_shape"]) * kind.itemsize
+    x = None
+    for described_as in reversed(meta["codecs"]):
+        if described_as["name"] == "bytes":
+            big = (described_as.get("configuration") or {}).get("endian", "little") != "little"
+            x = np.frombuffer(body, kind.newbyteorder(">") if big else kind).astype(kind)
+            continue
+        codec = understood(described_as)
+        if x is not None:
+            x = codecs.filter_decode(x, codec)
+        elif codec.family in SERIALIZERS:
+            x = serializers.decode(body, codec, kind)
         else:
-            raise ValueError(f"no decoder for Zarr codec {codec['name']}")
-    return np.frombuffer(body, TYPES[meta["data_type"]])
+            own = size
+            if described_as["configuration"].get("sized"):
+                own, body = int.from_bytes(body[:8], "little"), body[8:]
+            body = codecs.decompress(body, codec, own, kind.itemsize)
+    return x
 
 
 def fill(meta: dict) -> float:
@@ -109,11 +150,11 @@ class _Reader(DataSourceReader):
         self.path, self.field = options["path"], options.get("field")
 
     def partitions(self) -> list[_Chunk]:
-        arrays = Store(self.path).arrays()
-        if self.field is not None and self.field not in arrays:
-            raise ValueError(f"no field {self.field}; there are {', '.join(sorted(arrays))}")
+        found = Store(self.path).arrays()
+        if self.field is not None and self.field not in found:
+            raise ValueError(f"no field {self.field}; there are {', '.join(sorted(found))}")
         out = []
-        for name, meta in sorted(arrays.items()):
+        for name, meta in sorted(found.items()):
             if self.field in (None, name):
                 grid = meta["chunk_grid"]["configuration"]["chunk_shape"]
                 out += [_Chunk(name, meta, at) for at in product(*(range(ceil(n / c)) for n, c in zip(meta["shape"], grid, strict=True)))]
@@ -156,7 +197,11 @@ def open_dataset(spark: SparkSession, path: str, field: str | None = None) -> Da
         return (reader.option("field", field) if field is not None else reader).load(path)
     if path.endswith(".parquet"):
         df = spark.read.parquet(path)
-        return df if field is None else df.where(F.col("var") == field)
+        if "var" in df.columns:
+            return df if field is None else df.where(F.col("var") == field)
+        if field is None:
+            raise ValueError(f"{path} is a wide table: name one of its columns as the field")
+        return arrays.select_field(df, field, ["idx"])
     if path.endswith((".nc", ".grib")):
         from fieldpress.sources.netcdf import read_grid
 
@@ -164,47 +209,74 @@ def open_dataset(spark: SparkSession, path: str, field: str | None = None) -> Da
     raise ValueError(f"no reader for {path}; there are .nc, .grib, .zarr, .zarr.zip and .parquet")
 
 
-def array_meta(shape: tuple[int, ...], chunk: tuple[int, ...], dtype: str, dims: list[str], codec: dict | None, attributes: dict | None = None) -> dict:
+def array_meta(shape: tuple[int, ...], chunk: tuple[int, ...], dtype: str, dims: list[str], comp: Codec | None = None, front: codecs.Front = (None, None), attributes: dict | None = None) -> dict:
+    """A serializer's bytes differ in number by chunk; a compressor after it is `sized`: it begins a chunk with that number."""
+    filt, ser = front
+    used = [*([described(filt, dtype)] if filt else []), described(ser, dtype) if ser else {"name": "bytes", "configuration": {"endian": "little"}}, *([described(comp, dtype)] if comp else [])]
+    if comp and ser:
+        used[-1]["configuration"]["sized"] = True
     return {
         "zarr_format": 3, "node_type": "array", "shape": list(shape), "data_type": dtype, "chunk_grid": {"name": "regular", "configuration": {"chunk_shape": list(chunk)}},
-        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0, "codecs": [{"name": "bytes", "configuration": {"endian": "little"}}, *([codec] if codec else [])],
-        "dimension_names": dims, "attributes": attributes or {},
+        "chunk_key_encoding": {"name": "default", "configuration": {"separator": "/"}}, "fill_value": 0, "codecs": used, "dimension_names": dims, "attributes": attributes or {},
     }
 
 
 GROUP = {"zarr_format": 3, "node_type": "group", "attributes": {}}
+GZIP = Codec("GZip", (("level", 6),))
+
+
+def rows_of_chunks(shape: tuple[int, ...], cells: int) -> int:
+    """Leading entries of a chunk of at most `cells` cells, one at least."""
+    return max(1, min(shape[0], cells // max(1, prod(shape[1:]))))
 
 
-def write_field(chunks: DataFrame, path: str, var: str, shape: tuple[int, ...], chunk_rows: int, dtype: str, dims: list[str], level: int = 6, attributes: dict | None = None) -> int:
-    """Write chunk rows (chunk, payload: raw bytes of `chunk_rows` leading entries) as an array; how many chunks."""
-    full = chunk_rows * prod(shape[1:]) * np.dtype(TYPES[dtype]).itemsize
+def write_field(chunks: DataFrame, path: str, var: str, shape: tuple[int, ...], chunk_rows: int, dtype: str, dims: list[str], comp: Codec | None = GZIP, front: codecs.Front = (None, None), attributes: dict | None = None) -> int:
+    """Write chunk rows (chunk, payload: raw bytes of `chunk_rows` leading entries) as an array with a filter, a serializer and a compressor; how many chunks."""
+    kind = np.dtype(TYPES[dtype])
+    full = chunk_rows * prod(shape[1:]) * kind.itemsize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, n = Store(path), 0
         for b in batches:
-            for chunk, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                store.put(f"{var}/c/{'/'.join([str(chunk), *['0'] * (len(shape) - 1)])}", gzip.compress(raw.ljust(full, b"\0"), level, mtime=0))
+            for chunk, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                body = codecs.front_encode(np.frombuffer(raw.as_py().ljust(full, b"\0"), kind), front)
+                sized = len(body).to_bytes(8, "little") if comp and front[1] else b""
+                store.put(f"{var}/c/{'/'.join([str(chunk), *['0'] * (len(shape) - 1)])}", sized + codecs.compress(body, comp, kind.itemsize))
                 n += 1
         yield pa.record_batch([pa.array([n], pa.int64())], ["n"])
 
     n = chunks.select("chunk", "payload").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     store = Store(path)
-    codec = {"name": "gzip", "configuration": {"level": level}}
-    store.put(f"{var}/{META}", json.dumps(array_meta(shape, (chunk_rows, *shape[1:]), dtype, dims, codec, attributes)).encode())
+    store.put(f"{var}/{META}", json.dumps(array_meta(shape, (chunk_rows, *shape[1:]), dtype, dims, comp, front, attributes)).encode())
     store.put(META, json.dumps(GROUP).encode())
     return n
 
 
+def shape_of(path: str, field: str) -> tuple[tuple[int, ...], list[str], dict] | None:
+    """Shape, dimension names and attributes of a store's field; None for other sources."""
+    if not path.endswith((".zarr", ".zarr.zip")):
+        return None
+    meta = Store(path).arrays()[field]
+    return tuple(meta["shape"]), meta.get("dimension_names") or [f"d{i}" for i in range(len(meta["shape"]))], meta.get("attributes") or {}
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or where that is unset, on this machine."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if base:
+        return f"{base.rstrip('/')}/stores-{uuid.uuid4().hex[:12]}"
+    own = tempfile.mkdtemp(prefix="stores-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
 def zip_store(path: str, target: str) -> None:
-    """A directory store as an uncompressed zip."""
+    """A directory store as an uncompressed zip, written entry by entry."""
     store = Store(path)
-    body = io.BytesIO()
-    with zipfile.ZipFile(body, "w", zipfile.ZIP_STORED) as z:
+    fs, to = pa.fs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
+    with fs.open_output_stream(to) as f, zipfile.ZipFile(f, "w", zipfile.ZIP_STORED) as z:
         for key in sorted(store.keys()):
             z.writestr(key, store.get(key))
-    fs, to = pa.fs.FileSystem.from_uri(target if "://" in target else f"file://{target}")
-    with fs.open_output_stream(to) as f:
-        f.write(body.getvalue())
 
 
 def unzip_store(path: str, target: str | None = None) -> str:
@@ -220,10 +292,19 @@ def unzip_store(path: str, target: str | None = None) -> str:
 
 
 def copy_store(source: str, target: str) -> None:
-    """Merge a store's keys into another, replacing equal ones."""
-    a, b = Store(source), Store(target)
-    for key in a.keys():
-        b.put(key, a.get(key))
+    """Merge a store's keys into another, replacing equal ones; tasks copy them."""
+    spark = SparkSession.active()
+    keys = Store(source).keys()
+    tasks = max(1, min(len(keys), 4 * spark.sparkContext.defaultParallelism))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = Store(source), Store(target)
+        for batch in batches:
+            for key in batch.column(0).to_pylist():
+                b.put(key, a.get(key))
+            yield batch
+
+    spark.createDataFrame([(k,) for k in keys], "key string").repartition(tasks, "key").mapInArrow(run, "key string").count()
 
 
 def merge_fields(parts: dict[str, str], declared: list[str], target: str) -> None:
@@ -263,6 +344,38 @@ def export(spark: SparkSession, path: str, target: str | None = None) -> str:
     return target
 
 
+def slabs(store: Store, name: str, meta: dict) -> Iterator[np.ndarray]:
+    """An array's cells, a leading row of chunks at a time."""
+    shape, grid = meta["shape"], meta["chunk_grid"]["configuration"]["chunk_shape"]
+    counts = [ceil(n / c) for n, c in zip(shape, grid, strict=True)]
+    for first in range(counts[0]) if counts else ():
+        rows = min(shape[0] - first * grid[0], grid[0])
+        out = np.full((grid[0], *(n * c for n, c in zip(counts[1:], grid[1:], strict=True))), fill(meta), TYPES[meta["data_type"]])
+        for rest in product(*map(range, counts[1:])):
+            body = store.get(f"{name}/{chunk_key(meta, (first, *rest))}".lstrip("/"))
+            if body is not None:
+                out[(slice(None), *(slice(k * c, (k + 1) * c) for k, c in zip(rest, grid[1:], strict=True)))] = unpack(meta, body).reshape(grid)
+        yield out[(slice(0, rows), *(slice(0, n) for n in shape[1:]))]
+
+
+def to_netcdf(path: str, target: str | None = None) -> str:
+    """All arrays of a store as a classic netCDF file; an error if it has none."""
+    from fieldpress.sources.netcdf import write_grid
+
+    store = Store(path)
+    if not (found := store.arrays()):
+        raise ValueError(f"{path} has no arrays")
+    target = target or default_export(path, ".nc")
+    write_grid(target, [(name or "data", tuple(meta["shape"]), TYPES[meta["data_type"]], slabs(store, name, meta)) for name, meta in sorted(found.items())])
+    return target
+
+
+def find_file(spark: SparkSession, folder: str, name: str) -> str | None:
+    """A file of that name anywhere below a folder, the first by path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    return files.where(F.substring_index("path", "/", -1) == name).agg(F.min("path")).first()[0]
+
+
 def latest_file(spark: SparkSession, folder: str, prefix: str) -> str | None:
     """The most recently modified file of a folder whose name has the prefix."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*").option("recursiveFileLookup", True).load(folder)

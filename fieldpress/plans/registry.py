@@ -8,19 +8,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldpress.functions import numeric as N
 from fieldpress.operators import arrays, clustering, codecs, filters, metrics, space
-from fieldpress.operators.diagnose import periodicity_errors
+from fieldpress.operators.diagnose import by_position, periodicity_errors
 from fieldpress.operators.space import Codec, FieldInfo, Flags
 from fieldpress.plans import sweep
+from fieldpress.sources import zarr
 
 KEEPBITS = (1, 10, 19, 28, 37, 46, 52)
 DIGITS = (1, 5, 9)
 WIDTH = 64  # positions of an embedding
-EVENT_BYTES = 1_000_000
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, tuple[Query, str | None]] = {}
@@ -276,6 +277,25 @@ def periodicity_error(spark, sf_dir):
     return found.select("lat", "lon", r9(F.col("decoded"), "decoded"), r9(F.col("err"), "err"), "roll_err", "periodicity_err")
 
 
+@query(f"""WITH c AS (SELECT vec_id AS lat, p - 1 AS lon, CAST(embedding[p] AS DOUBLE) AS v, round_even(CAST(embedding[p] AS DOUBLE) * 16.0::double, 0) / 16.0::double AS q, (p - 1 + {WIDTH // 2}) % {WIDTH} AS turned FROM embeddings, (SELECT unnest(range(1, {WIDTH + 1})) AS p)),
+d AS (SELECT lat, lon, v, lag(q) OVER (PARTITION BY lat ORDER BY lon) AS b, lag(q) OVER (PARTITION BY lat ORDER BY turned) AS tb, q FROM c)
+SELECT lat, lon, round(q - coalesce(b, 0.0::double), 9) + 0.0::double AS decoded, round(abs(v - (q - coalesce(b, 0.0::double))), 9) AS err, round(abs((q - coalesce(b, 0.0::double)) - (q - coalesce(tb, 0.0::double))), 9) AS periodicity_err FROM d""")
+def periodicity_of_differences(spark, sf_dir):
+    """A codec that sees positions, differences along a latitude: the half turn moves where they begin, and the diagnostic sees that."""
+    cells, sizes = grid(spark, sf_dir).withColumn("value", F.col("value").cast("double")), {"lat": 1 << 20, "lon": WIDTH}
+    found = periodicity_errors(cells, sizes, by_position(lambda x: np.diff(np.rint(x * 16) / 16, prepend=0.0), sizes), columnwise=False)
+    return found.select("lat", "lon", r9(F.col("decoded"), "decoded"), r9(F.col("err"), "err"), r9(F.col("periodicity_err"), "periodicity_err"))
+
+
+@query(f"SELECT vec_id AS lat, p - 1 AS lon, round(CAST(embedding[p] AS DOUBLE), 9) AS decoded, 0.0::double AS err, 0.0::double AS periodicity_err FROM embeddings, (SELECT unnest(range(1, {WIDTH + 1})) AS p)")
+def periodicity_of_delta(spark, sf_dir):
+    """Delta along a latitude, encoded and decoded, gives both the field and the turned field back but for rounding."""
+    cells, sizes = grid(spark, sf_dir).withColumn("value", F.col("value").cast("double")), {"lat": 1 << 20, "lon": WIDTH}
+    delta = Codec("Delta")
+    found = periodicity_errors(cells, sizes, by_position(lambda x: codecs.filter_decode(codecs.filter_encode(x, delta), delta), sizes), columnwise=False)
+    return found.select("lat", "lon", r9(F.col("decoded"), "decoded"), r9(F.col("err"), "err"), r9(F.col("periodicity_err"), "periodicity_err"))
+
+
 @query("SELECT p_partkey AS idx, p_size - coalesce(lag(p_size) OVER (ORDER BY p_partkey), 0) AS delta FROM part")
 def int_delta(spark, sf_dir):
     cells = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("idx"), F.col("p_size").alias("value"))
@@ -329,7 +349,7 @@ def _ratio(family: str, key: str, values: tuple) -> Query:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = [Codec(family, ((key, v),)) for v in values]
         chunks = codecs.chunked(events(spark, sf_dir), "float64")
-        partial = codecs.sweep(chunks, "float64", [(i, c, None) for i, c in enumerate(own)])
+        partial = codecs.sweep(chunks, "float64", [(i, c, (None, None)) for i, c in enumerate(own)])
         names = spark.createDataFrame([(i, c.name) for i, c in enumerate(own)], "ordinal long, compressor string")
         return partial.groupBy("ordinal").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("enc_bytes").alias("enc_bytes"), F.max("max_abs_e").alias("max_abs_e")).join(names, "ordinal").select("compressor", "raw_bytes", "enc_bytes", (F.col("raw_bytes") / F.col("enc_bytes")).alias("ratio"), "max_abs_e")
 
@@ -341,12 +361,100 @@ for _args in (("Zlib", "level", (1, 6, 9)), ("GZip", "level", (1, 6, 9)), ("BZ2"
     query(None)(_ratio(*_args))
 
 
+N_COMPRESSORS = len(space.compressor_space())
+
+
+@query(f"SELECT CAST(i AS INT) AS comp_idx, count(*) AS n_cells, count(*) AS n_equal FROM events, (SELECT unnest(range({N_COMPRESSORS})) AS i) GROUP BY i")
+def compressors_round_trip(spark, sf_dir):
+    """Every compressor of the space gives every cell back: cells, and those that are equal, bit by bit."""
+    found = codecs.round_trips(codecs.chunked(events(spark, sf_dir), "float64"), "float64", [c for _, c in space.compressor_space()])
+    return found.groupBy("comp_idx").agg(F.sum("n_cells").alias("n_cells"), F.sum("n_equal").alias("n_equal"))
+
+
+@query(f"SELECT CAST(i AS INT) AS comp_idx, count(*) * 8 AS raw_bytes, true AS smaller FROM events, (SELECT unnest(range({N_COMPRESSORS})) AS i) GROUP BY i")
+def compressors_shrink(spark, sf_dir):
+    """Every compressor of the space makes the field of values rounded to four mantissa bits smaller."""
+    cells = events(spark, sf_dir).withColumn("value", N.bitround(F.col("value"), 4))
+    partial = codecs.sweep(codecs.chunked(cells, "float64"), "float64", [(i, c, (None, None)) for i, c in space.compressor_space()])
+    return partial.groupBy("ordinal").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("enc_bytes").alias("enc")).select(F.col("ordinal").cast("int").alias("comp_idx"), "raw_bytes", (F.col("enc") < F.col("raw_bytes")).alias("smaller"))
+
+
+def _store(spark: SparkSession, cells: DataFrame, folder: str, var: str, comp: Codec, filt: Codec | None, ser: Codec | None = None) -> str:
+    """A field of cells (idx, value) as a Zarr store."""
+    n = cells.agg(F.max("idx")).first()[0] + 1
+    rows = zarr.rows_of_chunks((n,), 1 << 14)
+    path = f"{folder}/{var}.zarr"
+    zarr.write_field(codecs.chunked(cells, "float64", cells=rows), path, var, (n,), rows, "float64", ["idx"], comp, (filt, ser))
+    return path
+
+
+@query("SELECT event_id AS idx, round_even(value * 16.0::double, 0) / 16.0::double AS value FROM events")
+def zarr_round_trip(spark, sf_dir):
+    """The event field written as a Zarr store with a filter and a compressor, and read back."""
+    path = _store(spark, events(spark, sf_dir), zarr.work_folder(spark), "value", Codec("Zlib", (("level", 6),)), Codec("Quantize", (("digits", 1),)))
+    return zarr.open_dataset(spark, path, "value").select("idx", "value")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> str:
+    folder = zarr.work_folder(spark)
+    prices = read(spark, sf_dir, "orders").select((F.col("o_orderkey") - F.lit(read(spark, sf_dir, "orders").agg(F.min("o_orderkey")).first()[0])).alias("idx"), F.col("o_totalprice").alias("value"))
+    parts = {"value": _store(spark, events(spark, sf_dir), folder, "value", Codec("BZ2", (("level", 9),)), None), "price": _store(spark, prices, folder, "price", Codec("Zstd", (("level", 9),)), Codec("BitRound", (("keepbits", 10),)))}
+    target = f"{folder}/merged.zarr.zip"
+    zarr.merge_fields(parts, ["value", "price"], target)
+    return target
+
+
+_ROUNDED_PRICE = "round_even(o_totalprice / pow(2.0::double, floor(log2(abs(o_totalprice))) - 10), 0) * pow(2.0::double, floor(log2(abs(o_totalprice))) - 10)"
+
+
+@query(f"SELECT 'value' AS var, event_id AS idx, value FROM events UNION ALL SELECT 'price', o_orderkey - (SELECT min(o_orderkey) FROM orders), {_ROUNDED_PRICE} FROM orders")
+def zarr_merge_export(spark, sf_dir):
+    """Two stores merged into a zip, exported as Parquet, and read again."""
+    path = _merged(spark, sf_dir)
+    return spark.read.parquet(zarr.export(spark, path)).select(F.col("var").cast("string").alias("var"), "idx", "value")
+
+
+@query(f"SELECT 'value' AS var, event_id AS idx, value FROM events UNION ALL SELECT 'price', o_orderkey - (SELECT min(o_orderkey) FROM orders), {_ROUNDED_PRICE} FROM orders")
+def netcdf_round_trip(spark, sf_dir):
+    """Two stores merged into a zip, written as a netCDF file, and read again."""
+    return zarr.open_dataset(spark, zarr.to_netcdf(_merged(spark, sf_dir)))
+
+
+@query("""SELECT var, n AS cells, 'float64' AS dtype, CAST(ceil(n / 16384.0) AS BIGINT) AS n_chunks, 8 * n AS raw_bytes, true AS smaller
+FROM (SELECT 'value' AS var, max(event_id) + 1 AS n FROM events UNION ALL SELECT 'price', max(o_orderkey) - min(o_orderkey) + 1 FROM orders)""")
+def zarr_inspect(spark, sf_dir):
+    found = zarr.inspect(spark, _merged(spark, sf_dir))
+    return found.select("var", F.col("shape")[0].alias("cells"), "dtype", "n_chunks", "raw_bytes", (F.col("ratio") > 1).alias("smaller"))
+
+
 @query()
 def evaluate_combos(spark, sf_dir):
-    """The whole sweep of one field: every compressor with every filter, gated. No serializer, as none of the enumerated ones can run here."""
+    """The whole sweep of one field: every compressor with every filter and plain bytes, gated."""
     return sweep.evaluate_combos(events(spark, sf_dir), "float64", limit=0.002, flags=Flags(serializer="none"))
 
 
+@query()
+def evaluate_serializers(spark, sf_dir):
+    """Every serializer with every filter and one compressor, gated."""
+    return sweep.evaluate_combos(events(spark, sf_dir), "float64", limit=0.002, flags=Flags(compressor="LZ4", serializer="all"))
+
+
+SERIALIZERS = [c for _, c in space.serializer_space(INFO["f64"])]
+
+
+@query(f"""SELECT CAST(i AS INT) AS ser_idx, count(*) AS n_cells, count(*) AS n_within FROM events, (SELECT unnest(range({len(SERIALIZERS)})) AS i) GROUP BY i""")
+def serializers_keep_their_bounds(spark, sf_dir):
+    """Each serializer's cells, and those that are off by no more than it promises (none at all for PCodec)."""
+    return codecs.bounds_kept(codecs.chunked(events(spark, sf_dir), "float64"), "float64", SERIALIZERS).groupBy("ser_idx").agg(F.sum("n_cells").alias("n_cells"), F.sum("n_within").alias("n_within"))
+
+
+@query("SELECT event_id AS idx, value FROM events")
+def zarr_round_trip_serializer(spark, sf_dir):
+    """A store with a serializer between filter and compressor, read back."""
+    path = _store(spark, events(spark, sf_dir), zarr.work_folder(spark), "value", Codec("Zstd", (("level", 9),)), None, SERIALIZERS[4])
+    return zarr.open_dataset(spark, path, "value").select("idx", "value")
+
+
 def _synthetic_scores(spark, sf_dir) -> DataFrame:
     """A result table to cluster: errors of bit rounding per event type, with nominal ratios."""
     each = read(spark, sf_dir, "events").select("event_type", "value", F.explode(F.array(*map(F.lit, KEEPBITS))).alias("keepbits"))
@@ -369,7 +477,7 @@ def codec_round_trip(spark, sf_dir):
     """Cells to chunks, delta-free zlib with byte shuffle, and back."""
     comp = Codec("Blosc", (("cname", "zlib"), ("clevel", 6), ("shuffle", 1)))
     chunks = codecs.chunked(events(spark, sf_dir), "float64")
-    return sweep.cells_of(sweep.decoded(sweep.encoded(chunks, "float64", comp, None), "float64", comp, None), "float64")
+    return sweep.cells_of(sweep.decoded(sweep.encoded(chunks, "float64", comp, (None, None)), "float64", comp, (None, None)), "float64")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

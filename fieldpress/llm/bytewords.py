@@ -61,11 +61,13 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def spans(buf: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where words begin and end; buf begins and ends with a separator."""
-    at = np.flatnonzero(np.diff(kind[buf].view(np.int8)))
+    """Where words begin and end; buf begins and ends with a separator. A step's temporaries are bounded, whatever the text's length."""
+    at = np.concatenate([np.flatnonzero(np.diff(kind[buf[a : a + STEP + 1]].view(np.int8))) + a for a in range(0, len(buf), STEP)])
     return at[::2] + 1, at[1::2] + 1
 
 
+#: Bytes, or words, of a text that one step works on.
+STEP = 1 << 20
 #: Spans up to this many bytes are hashed eight bytes at a time, longer ones byte by byte.
 SHORT = 64
 _BLOCKS = randoms(SHORT // 8, 13)
@@ -79,22 +81,19 @@ def _long_sums(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndar
     return np.add.reduceat(terms, first)
 
 
-def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span, none of them empty: a sum of its bytes or eight-byte blocks, each mixed or times a coefficient of its place."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
+def _hashed(wide: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     lens = ends - starts
     h = lens.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    wide = np.lib.stride_tricks.as_strided(np.concatenate((buf, np.zeros(8, np.uint8))).view(np.dtype("u1")), (len(buf) + 1, 8), (1, 1))
     which, at, left = np.arange(len(starts)), starts, lens
     if (long := lens > SHORT).any():
-        h[long] += _long_sums(buf, starts[long], lens[long])
+        for i in np.array_split(np.flatnonzero(long), 1 + int(lens[long].sum()) // STEP):
+            if len(i):
+                h[i] += _long_sums(buf, starts[i], lens[i])
         which = np.flatnonzero(~long)
         at, left = starts[which], lens[which]
     for k in _BLOCKS:
-        block = wide[at].reshape(-1).view(np.uint64)
         cut = np.uint64(8) * (np.uint64(8) - np.minimum(left, 8).astype(np.uint64))
-        block = mix((block << cut) * k)
+        block = mix((wide[at].reshape(-1).view(np.uint64) << cut) * k)
         if len(which) == len(h):
             h += block
         else:
@@ -106,6 +105,14 @@ def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
+def hashed(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span, none of them empty: a sum of its bytes or eight-byte blocks, each mixed or times a coefficient of its place."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    wide = np.lib.stride_tricks.as_strided(np.concatenate((buf, np.zeros(8, np.uint8))), (len(buf) + 1, 8), (1, 1))
+    return np.concatenate([_hashed(wide, buf, starts[a : a + STEP], ends[a : a + STEP]) for a in range(0, len(starts), STEP)])
+
+
 class Words:
     """The words of a slice of texts: hash, and `bounds[i]:bounds[i + 1]` are those of text i."""
 

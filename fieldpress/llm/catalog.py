@@ -59,7 +59,7 @@ WITH docs AS (
 ), wide AS (
   SELECT lang, metric, quantile_disc(bin, 0.25) AS wlow, quantile_disc(bin, 0.75) AS whigh FROM long GROUP BY ALL
 ), q AS (
-  SELECT lang, source, metric, CASE WHEN total >= 200 THEN low ELSE wlow END AS low, CASE WHEN total >= 200 THEN high ELSE whigh END AS high
+  SELECT lang, source, metric, (total * low + 50 * wlow) // (total + 50) AS low, (total * high + 50 * whigh) // (total + 50) AS high
   FROM own JOIN wide USING (lang, metric)
 ), f AS (
   SELECT lang, source, max(CASE WHEN metric = 1 THEN high + 3 * (high - low) + 30 END) AS t1, max(CASE WHEN metric = 2 THEN high + 3 * (high - low) + 300 END) AS t2,

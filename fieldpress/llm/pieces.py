@@ -177,11 +177,16 @@ class Encoder:
         return np.concatenate([np.zeros(0, self.dtype), *(np.asarray(x, self.dtype) for x in each)]), bounds
 
     def counts(self, texts: pa.Array) -> np.ndarray:
-        """Ids of each text: pieces of each distinct pre-token times its occurrences, without the ids of any text."""
+        """Ids of each text: each text's frequencies of its distinct pre-tokens, joined to the pieces of each, without the ids of any text."""
         if self.cutter is None:
             return np.array([len(x) for x in self.whole([x or "" for x in texts.to_pylist()])], np.int64)
         at, bounds, whole = self._cut(texts)
-        n = np.diff(np.concatenate(([0], np.cumsum(self.lens[at], dtype=np.int64)))[bounds])
+        kinds = max(1, len(self.keys))
+        text = np.repeat(np.arange(len(texts)), np.diff(bounds))
+        pairs, frequency = np.unique(text * kinds + at, return_counts=True)
+        text, token = np.divmod(pairs, kinds)
+        total = np.concatenate(([0], np.cumsum(frequency * self.lens[token], dtype=np.int64)))
+        n = np.diff(total[np.searchsorted(text, np.arange(len(texts) + 1))])
         if whole.any():
             n[whole] = [len(x) for x in self.whole([texts[i].as_py() for i in np.flatnonzero(whole).tolist()])]
         return n

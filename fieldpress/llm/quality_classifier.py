@@ -148,7 +148,12 @@ def remainder(modulus: int) -> Column:
 def train(described: DataFrame, labels: DataFrame, sample: int = SAMPLE, held: tuple[int, int] = (4, 2)) -> Forest:
     """Fit on at most `sample` labelled rows outside the held-out fold, the same ones for any partitioning."""
     own = labels.select(labels["doc_id"].alias("doc_id"), labels["quality"].alias("y")).where("y IN (0, 1)").where(remainder(held[0]) != held[1])
-    rows = own.join(described, "doc_id").select("doc_id", "y", "x").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample)
+    level = F.call_function("shiftright", F.xxhash64("doc_id"), F.lit(48)).alias("level")
+    counts = {r.level: r.n for r in own.groupBy(level).agg(F.count(F.lit(1)).alias("n")).collect()}  # at most 65,536 rows
+    least = sorted(counts)
+    upto = next((k for k, total in zip(least, np.cumsum([counts[k] for k in least]).tolist(), strict=True) if total >= 2 * sample), 1 << 16)
+    some = own.where(level <= upto)  # so few rows are ordered, whatever the table; labels without a document may leave fewer
+    rows = some.join(described, "doc_id").select("doc_id", "y", "x").orderBy(F.xxhash64("doc_id"), "doc_id", "y", "x").limit(sample)
     found = rows.toArrow().to_batches()
     x = np.concatenate([np.zeros((0, len(NAMES)), np.float32), *(b.column(2).flatten().to_numpy().reshape(-1, len(NAMES)) for b in found)])
     y = np.concatenate([np.zeros(0), *(b.column(1).to_numpy() for b in found)]).astype(np.float64)

@@ -26,7 +26,7 @@ from fieldpress.llm.shared import checkpointed
 WHITE = "\\x20\\x09-\\x0D"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
-BINS, LEAST, REACH, BROADCAST_GROUPS, SALTS = 1000, 200, 3, 100_000, 64
+BINS, PRIOR, REACH, BROADCAST_GROUPS, SALTS = 1000, 50, 3, 100_000, 64
 #: Metric: (numerator, denominator, factor), slack in its bins, and which sides are fenced.
 METRICS = {
     "symbols": ("n_symbols", "word_chars", 1000, 30, "high"),
@@ -126,8 +126,8 @@ def fences(sketch: DataFrame) -> DataFrame:
     merged = sketch.groupBy("__lang", "metric", "bin").agg(F.sum("n").alias("n"))
     wide = quartiles(merged, ["__lang"]).select("__lang", "metric", F.col("low").alias("wide_low"), F.col("high").alias("wide_high"))
     both = own.join(wide, ["__lang", "metric"])
-    pick = lambda c: F.when(F.col("total") >= LEAST, F.col(c)).otherwise(F.col(f"wide_{c}"))
-    q = both.select("__lang", "__source", "metric", pick("low").alias("low"), pick("high").alias("high"))
+    drawn = lambda c: F.expr(f"(total * {c} + {PRIOR} * wide_{c}) div (total + {PRIOR})")
+    q = both.select("__lang", "__source", "metric", drawn("low").alias("low"), drawn("high").alias("high"))
     reach = REACH * (F.col("high") - F.col("low"))
     out = []
     for m, (*_, slack, sides) in METRICS.items():

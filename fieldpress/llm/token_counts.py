@@ -1,9 +1,11 @@
 """Token counts: pieces of each distinct pre-token once, times its occurrences in each document.
 
 A worker cuts a slice of texts into pre-tokens, counts the vocabulary pieces of each distinct one
-once (a bounded cache carries them over to its later slices), and joins these counts by integer
-codes to the pre-tokens of each document, summed per document. No document's ids are ever made, and
-nothing is shuffled: pre-tokens of all documents would be a table as large as the texts.
+once (a bounded cache carries them over to its later slices), forms the frequency of each distinct
+pre-token in each document, joins the two by integer codes, and sums per document. No document's ids
+are made, and nothing is shuffled: pre-tokens of all documents would be a table as large as the texts. A text
+that holds an added token's string of the vocabulary, or a vocabulary for which no cut is proven, goes to the
+library whole, and only its number of ids is kept.
 
 Defined cases: null or empty text counts 0; repeated rows are counted each; an empty table gives no
 rows; columns other than doc_id and text are ignored; a null doc_id stays null.

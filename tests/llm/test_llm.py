@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from fieldpress.llm import bytewords, catalog, chat, components, decontamination, jaccard_join, lm_scoring, packing, pieces, quality_classifier, quality_rules, substring_dedup, token_counts, token_output
+from fieldpress.llm import bytewords, catalog, chat, components, decontamination, jaccard_join, lm_scoring, matching, packing, pieces, quality_classifier, quality_rules, shared, substring_dedup, token_counts, token_output
 from fieldpress.llm.shared import scratch
 
 BPE, PIECES = catalog.vocabulary("byte_bpe_50k.json"), catalog.vocabulary("piece_bpe_32k.model")
@@ -180,6 +180,15 @@ def test_quality_fences_reject_what_stands_out(spark):
     assert not any(got[i] for i, _ in odd) and sum(got[i] for i, _ in clean) >= 298
 
 
+def test_quality_thresholds_are_a_sources_own(spark):
+    """The same symbols stand out in a source that has none, and not in one that is full of them."""
+    marked = lambda i: " ".join(w + "##" for w in words(prose(i, 150)))
+    rows_of = [(i, prose(100 + i, 150), "plain") for i in range(400)] + [(1000 + i, marked(2000 + i), "marked") for i in range(400)] + [(5000, marked(7), "plain"), (5001, marked(8), "marked"), (5002, marked(9), "new")]
+    docs = spark.createDataFrame([(i, t, "en", s) for i, t, s in rows_of], "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in rows(quality_rules.apply_rules(quality_rules.measure(docs)))}
+    assert not got[5000] and got[5001] and got[5002] and sum(got[1000 + i] for i in range(400)) >= 396
+
+
 ALNUM = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
 
@@ -266,11 +275,52 @@ def test_sketch_bound_and_keys():
 
 
 def test_links_that_a_star_misses(spark):
-    """Two members of a key that are like each other, but not like the key's leader."""
+    """Two members of a key that are like each other, but not like the key's smallest."""
     tokens = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 50, 55)]
     sets = spark.createDataFrame([(i, 100, jaccard_join.sketch(t).tolist(), t.tobytes()) for i, t in enumerate(tokens)], "node long, n long, sketch array<long>, tokens binary")
-    stars = spark.createDataFrame([(7, 0, 1), (7, 0, 2), (8, 0, 1), (8, 0, 2)], "key long, a long, b long")
-    assert {(r.a, r.b) for r in jaccard_join.links(stars, sets).collect()} == {(1, 2)}
+    members = spark.createDataFrame([(k, i) for k in (7, 8) for i in (0, 1, 2, 1)], "key long, node long")
+    assert {(r.node, r.component) for r in jaccard_join.links(members, sets).collect()} == {(1, 1), (2, 1)}
+
+
+@pytest.fixture
+def other_ways(monkeypatch):
+    """Every bound on what is broadcast, held or tested at once so low that the way beyond it is taken."""
+    for module, name, value in (
+        (shared, "BROADCAST_ROWS", -1), (jaccard_join, "BROADCAST_BYTES", -1), (jaccard_join, "UNIT", 2), (jaccard_join, "CROSS", 3), (quality_rules, "BROADCAST_GROUPS", -1), (lm_scoring, "HEAD", 300), (lm_scoring, "NEAR", 1),
+    ):
+        monkeypatch.setattr(module, name, value)
+
+
+def test_jaccard_join_the_other_way(spark, docs, other_ways):
+    texts = [t for k, (n, edits) in enumerate([(12, 1), (60, 3), (300, 14)]) for t in variants(50 + k, n, 12, edits)]
+    hub = words(prose(99, 200, 5000))  # unlike documents that share half of their words, some of them alike
+    texts += [" ".join(hub[:100] + words(prose(700 + i // 3, 100, 5000))) for i in range(15)]
+    extra = [(100 + i, t) for i, t in enumerate(texts)]
+    got = rows(jaccard_join.near_duplicates(docs.unionByName(frame(spark, extra))))
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"] is not None} == brute_links(edges() + extra)
+
+
+def test_jaccard_join_of_a_doc_id_with_two_texts(spark):
+    a, b = words(prose(70, 80, 5000)), words(prose(71, 80, 5000))
+    docs = frame(spark, [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(a + ["plus"])), (3, " ".join(b + ["plus"])), (4, prose(72, 80, 5000))])
+    got = sorted((r["doc_id"], r["component_id"]) for r in rows(jaccard_join.near_duplicates(docs)))
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    kept = rows(corpus_pipeline.near_duplicates(spark, docs.unionByName(frame(spark, [(1, " ".join(a))])), ""))
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, prose(72, 80, 5000))])
+
+
+def test_matching_of_entries():
+    e = matching.Entries(4, ["u8", "i8"], 1, 2)
+    e.add(np.array([5, 5, 5, 6, 7], np.uint64), np.array([1, 2, 2, 3, 4]))
+    sent = [r for b in e.out() for r in b.to_pylist()]
+    ready = [tuple(x.tolist()) for r in sent if r["kind"] == 1 for x in e.unpacked(r["blob"])]
+    assert ready == [(5, 5), (1, 2)]
+    own = {r["part"]: r["blob"] for r in sent if r["kind"] == 2}
+    assert sorted(zip(*(np.concatenate(c).tolist() for c in zip(*map(e.unpacked, own.values()), strict=True)), strict=True)) == [(5, 1), (6, 3), (7, 4)] and set(own) == {1, 2, 3}
+    other = matching.packed([np.array([5, 9], np.uint64), np.array([8, 8])])
+    assert [c.tolist() for c in e.joined([own[1], own[1], other])] == [[5, 5], [1, 8]]
+    dealt = [pa.record_batch([pa.array([0, 0, 1], pa.int32()), pa.array([2, 1, 2], pa.int32()), pa.array([b"a", b"b", b"c"], pa.binary())], schema=matching.SENT)]
+    assert list(matching.parts_in_order(iter(dealt), {2})) == [(1, [b"b"]), (2, [b"a"]), (2, [b"c"])]
 
 
 def test_components(spark):
@@ -279,6 +329,8 @@ def test_components(spark):
     want = components.stars([a for a, _ in links], [b for _, b in links])
     got = {r.node: r.component for r in components.components(spark.createDataFrame(links, "u long, v long").repartition(7)).collect()}
     assert {k: v for k, v in got.items() if k != v} == want
+    many = components.components(spark.createDataFrame(links, "u long, v long").repartition(7), held=40)
+    assert {r.node: r.component for r in many.collect()} == got
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
@@ -326,6 +378,67 @@ def test_bands_miss_no_more_than_20_of_5(similarity):
     assert (1 - similarity**substring_dedup.ROWS) ** substring_dedup.BANDS <= (1 - similarity**5) ** 20
 
 
+def shared_runs(texts, least):
+    """By brute force: (doc, first, words) of the maximal runs of at least `least` words that another document has too."""
+    tokens = {i: words(t) for i, t in texts}
+    at = collections.defaultdict(set)
+    for i, w in tokens.items():
+        for k in range(len(w) - least + 1):
+            at[tuple(w[k : k + least])].add(i)
+    out = []
+    for i, w in tokens.items():
+        hit = [len(at[tuple(w[k : k + least])]) > 1 for k in range(len(w) - least + 1)]
+        k = 0
+        while k < len(hit):
+            if hit[k]:
+                end = k
+                while end < len(hit) and hit[end]:
+                    end += 1
+                out.append((i, k, end - k + least - 1))
+                k = end
+            k += 1
+    return out
+
+
+@pytest.mark.parametrize("way", ["own", "other"])
+def test_repeats_against_brute_force(spark, request, way):
+    """Planted passages and near copies of lines among other words: what is shared is found, and nothing else."""
+    if way == "other":
+        request.getfixturevalue("other_ways")
+    r = random.Random(8)
+    plain = lambda seed, n: words(prose(seed, n, 20_000))
+    texts, near = [], []
+    for i in range(60):
+        w = plain(5000 + i, 150)
+        if i % 3 == 0:
+            k, n = r.randrange(60), r.choice([60, 70, 90])
+            w[100:100] = plain(6000 + i // 6, 100)[k % 10 : k % 10 + n]
+        text = " ".join(w)
+        if i % 5 == 1:
+            line = plain(7000 + i // 10, 140)
+            line[r.randrange(20, 120)] = f"changed{i}"
+            text, near = text + "\n" + " ".join(line), [*near, (i, len(w))]
+        texts.append((i, text))
+    got = rows(substring_dedup.repeated(frame(spark, texts).repartition(5)))
+    covered = collections.defaultdict(set)
+    for x in got:
+        covered[x["doc_id"]] |= set(range(x["first_word"], x["first_word"] + x["n_words"]))
+    runs = shared_runs(texts, 51)
+    assert len(runs) >= 15 and all(len(covered[i] & set(range(a, a + n))) >= n - 2 * substring_dedup.PANE for i, a, n in runs)
+    assert len(near) == 12 and sum(set(range(a, a + 140)) <= covered[i] for i, a in near) >= 0.9 * len(near)
+    tokens = {i: words(t) for i, t in texts}
+    five = collections.Counter(g for i, w in tokens.items() for g in {tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    assert not covered.keys() - {i for i, w in tokens.items() if any(five[tuple(w[k : k + 5])] > 1 for k in range(len(w) - 4))}
+
+
+def test_deduplication_of_a_doc_id_with_two_texts(spark):
+    passage = " ".join(words(prose(80, 90, 9000)))
+    rest = [" ".join(words(prose(81 + i, 90, 9000))) for i in range(3)]
+    docs = frame(spark, [(1, passage), (2, rest[0] + "\n" + passage), (2, rest[1]), (3, passage + "\n" + rest[2])]).withColumnRenamed("rid", "removed_doc").withColumnRenamed("x", "Removed_Spans")
+    got = {(r["doc_id"], r["text"], r["removed_doc"], r["Removed_Spans"]) for r in rows(substring_dedup.deduplicated(docs))}
+    assert got == {(1, passage, 8, 13), (2, rest[0] + "\n" + passage, 8, 13), (2, rest[1], 8, 13), (3, rest[2], 8, 13)}
+
+
 def test_without_words():
     assert substring_dedup.without("a b c d e f", [(1, 3)]) == "a d e f" and substring_dedup.without("a b c", [(0, 3)]) == ""
     assert substring_dedup.without("a b c d e f", [(0, 1), (4, 5)]) == "f"
@@ -397,19 +510,60 @@ def test_lm_scores(spark, docs, nothing):
     assert {x["score"] for x in rows(lm_scoring.score_documents(docs.where("doc_id IS NULL")))} == {0.0}
 
 
-def test_model_is_a_distribution():
+def random_model(rows=1 << 12):
+    r = np.random.default_rng(0)
     n = 3000
-    head = bytewords.randoms(n, 9)
-    m = lm_scoring.Model(10_000, n + 50, head, np.arange(n, 0, -1))
-    m.w[:] = np.random.default_rng(0).normal(size=m.w.shape)
-    m.v[:] = np.random.default_rng(1).normal(size=m.v.shape)
+    head, counts, shapes = bytewords.randoms(n, 9), np.arange(n, 0, -1), r.integers(0, lm_scoring.REST * lm_scoring.SLOTS, n)
+    mass = np.bincount(shapes, counts + 0.5, lm_scoring.REST * lm_scoring.SLOTS)
+    m = lm_scoring.Model(int(counts.sum()), n, head, counts, shapes, mass, rows)
+    m.w[:], m.v[:] = r.normal(size=m.w.shape), r.normal(size=m.v.shape)
+    return m, head, counts, shapes
+
+
+def test_model_is_a_distribution():
+    m, head, counts, shapes = random_model()
     f = lm_scoring.features(head[:1], np.array([0, 1]))
-    p, _ = lm_scoring.softmax(m.bias + m.w[lm_scoring.rows_of(f)].sum(axis=1))
-    total = p[0, -1]
-    for c in range(lm_scoring.CLASSES):
-        q, _ = lm_scoring.softmax(m.slot_bias[[c]] + m.v[lm_scoring.rows_of(f, np.array([c]))].sum(axis=1))
-        total += p[0, c] * q.sum()
-    assert total == pytest.approx(1, abs=1e-5)
+    slots = np.arange(lm_scoring.CLASSES * lm_scoring.SLOTS)
+    p = np.exp(lm_scoring.log_chances(m, slots, np.repeat(f, len(slots), axis=1)))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    core = lm_scoring.CORE * lm_scoring.SLOTS
+    within = np.bincount(shapes[core:], counts[core:] + 0.5, lm_scoring.REST * lm_scoring.SLOTS) + 0.5  # tokens of a shape, and one never seen
+    assert np.exp(np.log(within) - m.log_mass) == pytest.approx(1)
+    assert sorted(m.targets(head[:core], shapes[:core])) == list(range(core)) and (m.targets(head[core:], shapes[core:]) == core + shapes[core:]).all()
+
+
+def test_log_chances_against_one_token_at_a_time():
+    m, head, _, shapes = random_model()
+    r = np.random.default_rng(5)
+    pick = r.integers(0, len(head), 200)
+    h, s, bounds = head[pick], shapes[pick], np.array([0, 0, 70, 200])
+    got = lm_scoring.log_chances(m, m.targets(h, s), lm_scoring.features(h, bounds))
+    mask = (1 << 64) - 1
+    one = lambda x: int(bytewords.mix(np.array([x & mask], np.uint64))[0])
+    for i in range(len(h)):
+        start = max(b for b in bounds.tolist() if b <= i)
+        before = [int(h[i - k]) if i - k >= start else int(lm_scoring.START) for k in (1, 2)]
+        f = [one(x + k * 0x9E3779B9) for k, x in enumerate([*before, one(before[0] * 3 + before[1])])]
+        t = int(m.targets(h[i : i + 1], s[i : i + 1])[0])
+        c, want = t // lm_scoring.SLOTS, 0.0
+        for table, bias, own, keys in ((m.w, m.bias, c, f), (m.v, m.slot_bias[c], t % lm_scoring.SLOTS, [((x ^ ((c + 1) * 0x9E3779B97F4A7C15 & mask)) * 0xD6E8FEB86659FD93) & mask for x in f])):
+            z = bias.astype(np.float64) + sum(table[k >> 52].astype(np.float64) for k in keys)
+            want += z[own] - np.log(np.exp(z - z.max()).sum()) - z.max()
+        assert got[i] == pytest.approx(want, abs=1e-4)
+
+
+def test_lm_scores_the_other_way(spark, docs):
+    key = lambda df: sorted((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in rows(df))
+    want = key(lm_scoring.score_documents(docs))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(lm_scoring, "HEAD", 300)
+        m.setattr(lm_scoring, "NEAR", 1)
+        assert key(lm_scoring.score_documents(docs)) == want
+
+
+def test_lm_tables_grow_with_the_vocabulary():
+    sizes = [lm_scoring.Model(n, n, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), np.zeros(lm_scoring.REST * lm_scoring.SLOTS)).rows for n in (10, 5000, 20_000, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == lm_scoring.ROWS_LEAST < sizes[1] < sizes[-1] == lm_scoring.ROWS_MOST
 
 
 def test_pipeline_against_brute_force(spark, tmp_path):
@@ -430,6 +584,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert set(near) == set(quality) - {100}
     assert set(repeats) == set(near) and [i for i in near if near[i] != repeats[i]] == [104] and passage not in repeats[104]
     assert set(leaks) == set(repeats) - {102}
+    mixed = frame(spark, table).withColumnRenamed("a", "__hit").withColumnRenamed("b", "__gone").withColumnRenamed("x", "n_hit").withColumnRenamed("rid", "digest")
+    extra = [c for c in mixed.columns if c not in docs.columns]
+    for (name, stage), texts in zip(corpus_pipeline.STAGES[:-1], kept, strict=True):  # columns of clashing names keep their values
+        mixed = stage(spark, mixed, str(tmp_path)).cache()
+        back = mixed.collect()
+        assert {r.doc_id: r.text for r in back} == texts and {tuple(r[c] for c in extra) for r in back} == {tuple(CLASH[{"__hit": "a", "__gone": "b", "n_hit": "x", "digest": "rid"}.get(c, c)] for c in extra)}, name
     got = rows(corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)))
     assert sum(r["length"] for r in got) == sum(len(ids_of(t)) for t in leaks.values()) and {r["doc_id"] for r in got} == set(leaks)
 
@@ -451,3 +611,14 @@ def test_chat_rewrites_far_back_are_refused():
 def test_repeat_words_of_a_very_long_text(spark):
     once = frame(spark, [(1, " ".join(map(str, range(30_000_000, 30_000_000 + (1 << 21) - 1)))), (2, "a b c d a b c e")])
     assert {r["doc_id"]: r["n_repeat_words"] for r in rows(quality_rules.measure(once))} == {1: 0, 2: 6}
+
+
+def test_stages_do_not_depend_on_each_other(spark, tmp_path):
+    table = frame(spark, [(i, prose(2000 + i, 130, 3000)) for i in range(30)] + [(50, None), (None, prose(1, 120))])
+    spark.createDataFrame([(1, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        once, again = stage(spark, table, str(tmp_path)), stage(spark, table, str(tmp_path))
+        assert once.count() == again.count() == once.count()
+        assert stage(spark, table.where("doc_id = -9"), str(tmp_path)).count() == 0
+    left = rows(corpus_pipeline.benchmark_leaks(spark, table, str(tmp_path)))
+    assert {r["doc_id"]: r["text"] for r in left} == {r["doc_id"]: r["text"] for r in rows(table)}

@@ -55,6 +55,11 @@ def evaluate_combos(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     return metrics.best_combo(spark.read.parquet(a.out), ("var",))
 
 
+def best(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The best configuration of each field in a table of scores, its figures as text."""
+    return metrics.described(metrics.best_combo(spark.read.parquet(a.scores), ("var",)))
+
+
 def indexes(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Indices of codecs by name, from a table of configurations that evaluate_combos wrote."""
     return get_indexes(spark.read.parquet(a.space), a.compressor, a.filter, a.serializer)
@@ -137,6 +142,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--l1", type=float)
     p.add_argument("--most-bytes", type=int, help="cut a larger field to this size, leading entries first")
     p.add_argument("--thresholds", help="CSV of Short Name, Unit and Existing L1 error")
+    command(best, "scores")
     command(indexes, "space", "compressor", "filter", "serializer")
     command(compress_with_optimal, "dataset", "out", "field", "comp_idx", "filt_idx", "ser_idx", space=True)
     command(merge_compressed_fields, "dataset", "out").add_argument("stores", nargs="+")

@@ -79,3 +79,21 @@ def jittered(x: Column, seed: int, size: float = 1e-5) -> Column:
 def decimal_comma(x: Column) -> Column:
     """A number written with a decimal comma; blank is null."""
     return F.when(F.trim(x) != "", F.replace(F.trim(x), F.lit(","), F.lit("."))).cast("double")
+
+
+def scientific(x: Column, digits: int = 3) -> Column:
+    """A number as text with an exponent, like 1.250e-03."""
+    return F.format_string(f"%.{digits}e", x.cast("double"))
+
+
+#: Names of sizes by powers of 1024.
+UNITS = ("Bytes", "KiB", "MiB", "GiB", "TiB", "PiB", "EiB")
+
+
+def binary_size(n: Column) -> Column:
+    """A number of bytes as text in the largest unit that it fills, like 1.5 KiB."""
+    n = n.cast("double")
+    out = F.when(n < 1024, F.format_string(f"%.0f {UNITS[0]}", n))
+    for k, unit in enumerate(UNITS[1:], 1):
+        out = out.when((n < 1024.0 ** (k + 1)) | F.lit(unit == UNITS[-1]), F.format_string(f"%.1f {unit}", n / 1024.0**k))
+    return out

@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldpress.functions.numeric import decimal_comma, finite, safe_div
+from fieldpress.functions.numeric import decimal_comma, finite, safe_div, scientific
 
 # The rule for how many clusters a result has.
 CLUSTERS_MOST, RESULTS_MOST = 6, 42_976
@@ -69,6 +69,17 @@ def best_combo(scored: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return scored.withColumn("__place", place).where("__place = 1").drop("__place")
 
 
+def described(scored: DataFrame) -> DataFrame:
+    """Ratio, errors and distance as text."""
+    names = [c for c in scored.columns if c not in ("ratio", "rel_l1", "rel_l2", "rel_linf", "euclid")]
+    return scored.select(*names, F.format_string("%.3f", "ratio").alias("ratio"), *[scientific(F.col(c)).alias(c) for c in ("rel_l1", "rel_l2", "rel_linf", "euclid")])
+
+
+def single_cluster(points: DataFrame, label: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Whether all points, or those of each key, are in one cluster: `single`."""
+    return points.groupBy(*keys).agg((F.min(label) == F.max(label)).alias("single"))
+
+
 def finite_rows(df: DataFrame) -> DataFrame:
     """Rows whose numeric columns are all finite."""
     for name, kind in df.dtypes:

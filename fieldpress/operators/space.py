@@ -10,7 +10,7 @@ import itertools
 import warnings
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Parameter grids of the codec families.
@@ -197,6 +197,18 @@ def config_frame(spark: SparkSession, info: FieldInfo, flags: Flags = Flags()) -
     )
 
 
+def pair_text(idx: Column, name: Column) -> Column:
+    """An index and a codec's name as one text, as tables of configurations list them: (3, Zlib(level=9))."""
+    return F.concat(F.lit("("), idx.cast("string"), F.lit(", "), name, F.lit(")"))
+
+
+def pair_of(text: Column) -> Column:
+    """The index and name of such a text; only the first comma parts them."""
+    inner = F.substring(text, F.lit(2), F.length(text) - 2)
+    parts = F.split(inner, ", ", 2)
+    return F.struct(parts[0].cast("int").alias("idx"), parts[1].alias("name"))
+
+
 def effective(config: DataFrame) -> DataFrame:
     """Distinct pipelines among configurations, with the ordinals that each stands for: evaluated once."""
     return config.groupBy("comp_idx", "eff_filt_idx", "ser_idx").agg(F.min("ordinal").alias("ordinal"), F.count(F.lit(1)).alias("n_configs"))

@@ -332,6 +332,42 @@ def merge_fields(spark, sf_dir):
     return a.unionByName(b)
 
 
+SIZES = (0, 1, 1023, 1024, 1536, 10_000_000, 2_684_354_560, 1 << 40)
+
+
+@query(f"""SELECT n, CASE WHEN n < 1024 THEN printf('%.0f Bytes', n::double) WHEN n < 1048576 THEN printf('%.1f KiB', n / 1024.0::double) WHEN n < 1073741824 THEN printf('%.1f MiB', n / 1048576.0::double)
+WHEN n < 1099511627776 THEN printf('%.1f GiB', n / 1073741824.0::double) ELSE printf('%.1f TiB', n / 1099511627776.0::double) END AS size FROM (VALUES {', '.join(f'({n}::bigint)' for n in SIZES)}) t(n)""")
+def binary_sizes(spark, sf_dir):
+    return spark.createDataFrame([(n,) for n in SIZES], "n long").select("n", N.binary_size(F.col("n")).alias("size"))
+
+
+@query(f"SELECT keepbits, printf('%.3f', 64.0::double / (12 + keepbits)) AS ratio, printf('%.3e', rel_l1) AS rel_l1, printf('%.3e', rel_l2) AS rel_l2, printf('%.3e', rel_linf) AS rel_linf, printf('%.3e', euclid) AS euclid FROM (SELECT k AS keepbits, {_duck_norms('d - value').replace('round(', '(').replace(', 9)', ')').replace(', 6)', ')')} FROM ({_bits((1, 10, 19))}) GROUP BY k)")
+def scores_as_text(spark, sf_dir):
+    return metrics.described(bitround_scores(spark, sf_dir, (1, 10, 19)).withColumn("ratio", F.lit(64.0) / (12 + F.col("keepbits"))))
+
+
+@query(f"SELECT CAST(i AS INT) AS idx, n AS name FROM ({_COMP_SQL})")
+def config_pairs(spark, sf_dir):
+    """Compressors through the text form in which tables of configurations list them."""
+    texts = space.config_frame(spark, INFO["int"], Flags(serializer="none")).select(space.pair_text(F.col("comp_idx"), F.col("comp_name")).alias("pair"))
+    return texts.select(space.pair_of(F.col("pair")).alias("p")).select("p.idx", "p.name")
+
+
+@query("SELECT event_type, min(event_id % 2) = max(event_id % 2) AS single FROM events GROUP BY event_type")
+def single_cluster(spark, sf_dir):
+    return metrics.single_cluster(read(spark, sf_dir, "events").withColumn("cluster", F.col("event_id") % 2), "cluster", ("event_type",))
+
+
+@query("SELECT CAST(quantile_disc(value, 0.5) AS DOUBLE) AS middle, (SELECT round(avg(value), 9) FROM events WHERE event_id < 1000000 // 8) AS head FROM events")
+def resized_field(spark, sf_dir):
+    """The mean of a field cut to a number of bytes, beside an exact rank of all its values."""
+    cells = events(spark, sf_dir)
+    n = cells.count()
+    x = cells.select(F.col("value").alias("x"))
+    head = arrays.resized(cells, {"idx": n}, 8 * n, 1_000_000).agg(r9(F.avg("value"), "head"))
+    return head.select(F.lit(filters.ranked(x, -(-n // 2) - 1, n)).alias("middle"), "head")
+
+
 RANGES = ((1, 52, 9), (1, 23, 9), (1, 15, 4), (1, 7, 4), (5, 1, -2))
 
 

@@ -110,7 +110,8 @@ FROM docs LEFT JOIN hit USING (rid) LEFT JOIN named USING (rid)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated(table(spark, sf_dir, "documents"))
+    """Runs of the length from which words are removed: a document that shares a shorter line alone is left alone."""
+    return substring_dedup.repeated(table(spark, sf_dir, "documents"), least=substring_dedup.RUN)
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,9 @@ that any partner may have: a differing shingle spoils one segment at most, so on
 * Candidates are tested by size and by the Hamming distance of a wide parity sketch, then verified on
   their full sets. Keys whose members are not all in one component then have their members of
   different components tested against each other, in units of bounded blocks: no link is lost.
+* A key of very many members that stay apart is most often a passage that unlike documents share. Such
+  members are joined once more among themselves, as a corpus of their own: its frequent shingles, left
+  out of the segments, are those of the passage. Their links are found by that, not by testing all pairs.
 
 Defined cases: null text, or text without words, has an empty set and links with nothing; repeated rows of a
 doc_id get a row each; a row without a doc_id links with nothing and has a null component; an empty table
@@ -47,6 +50,9 @@ HOT_BYTES, HOT_LEAST, HOT_MOST = 8 << 20, 4, 1 << 16
 UNIT = 256
 #: Members of a key that one unit tests against each other, or against as many others.
 CROSS = 1024
+#: Members of keys of more than this are joined among themselves, `DEPTH` times at most, before they are all tested: it takes some
+#: fifty stages, which is more than the pairs of fewer members cost.
+VERY, DEPTH = 16 * CROSS, 2
 #: Turns of one pivot per key of more than `CROSS` members before its members of different components are all tested.
 PIVOTS = 3
 SKETCH_WORDS = 32
@@ -119,8 +125,20 @@ def folded(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_xor.reduce(bits.reshape(len(bits), -1, words), axis=1)
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted shingles that many documents have, by lossy counts over all of them, a help for speed alone; and the bytes of all texts."""
+def texts_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of texts and their shingle sets."""
+    for part in slices(batches):
+        yield part, shingle_sets(Words(col(part, "text")), SHINGLE)
+
+
+def stored_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of stored tokens."""
+    for part in slices(batches, "tokens"):
+        yield part, [np.frombuffer(t.as_py(), np.uint64) for t in col(part, "tokens")]
+
+
+def frequent(docs: DataFrame, sets_in=texts_sets, column: str = "text") -> tuple[np.ndarray, int]:
+    """Sorted shingles that many documents have, by lossy counts over all of them, a help for speed alone; and the bytes of the column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -132,10 +150,10 @@ def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
             held.clear()
             return pa.record_batch([pa.array(values[keep].view(np.int64)), pa.array(n[keep])], ["h", "n"])
 
-        for part in slices(batches):
-            held += shingle_sets(Words(col(part, "text")), SHINGLE)
-            size += col(part, "text").nbytes
-            total += col(part, "text").nbytes
+        for part, sets in sets_in(batches):
+            held += sets
+            size += col(part, column).nbytes
+            total += col(part, column).nbytes
             if size >= HOT_BYTES:
                 yield out()
                 size = 0
@@ -177,8 +195,7 @@ def matched(docs: DataFrame, hot: np.ndarray, seed: int, text_bytes: int) -> Dat
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int, int]] = set()
         held = Entries(parts, ["u8", "i8"], READY, KEYED)
-        for part in slices(batches):
-            sets = shingle_sets(Words(col(part, "text")), SHINGLE)
+        for part, sets in texts_sets(batches):
             own = []
             for doc, s in zip(col(part, "doc_id").to_pylist(), sets, strict=True):
                 x, y = digest(s, seed)
@@ -208,6 +225,43 @@ def matched(docs: DataFrame, hot: np.ndarray, seed: int, text_bytes: int) -> Dat
     return materialise(dealt(docs, emit, tasks, match, MATCHED_DDL), "matched")
 
 
+def rejoined(sets: DataFrame, nodes: DataFrame, level: int) -> DataFrame:
+    """Members (key, node) of the keys that these nodes share when they are joined as a corpus of their own."""
+    spark = sets.sparkSession
+    own = materialise(sets.select("node", "tokens").join(hinted(nodes), "node"), "own-sets")
+    hot, size = frequent(own, stored_sets, "tokens")
+    tasks, parts = parts_of(spark, size)
+    shared = spark.sparkContext.broadcast(hot)
+
+    def emit(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
+        held = Entries(parts, ["u8", "i8"], READY, KEYED)
+        for part, each in stored_sets(batches):
+            for node, s in zip(col(part, "node").to_pylist(), each, strict=True):
+                keys, enough = join_keys(s, shared.value, seed)
+                held.add(keys, np.full(len(keys), node, np.int64))
+                if not enough:
+                    yield row(0, OWN, b"")
+            if held.size >= HELD_KEYS:
+                yield from held.out()
+        yield from held.out()
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries = Entries(parts, ["u8", "i8"], READY, KEYED)
+        for kind, blobs in parts_in_order(batches, {KEYED}):
+            if kind == OWN:
+                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["key", "node"])
+            else:
+                yield from members_batch(*(entries.joined(blobs) if kind == KEYED else entries.unpacked(blobs[0])), ["key", "node"])
+
+    for seed in itertools.count(1000 * level):
+        found = materialise(dealt(own, lambda batches, seed=seed: emit(batches, seed), tasks, match, "key long, node long"), "rejoined")
+        if not found.where("key IS NULL").take(1):
+            discard(own)
+            return found
+        discard(found)  # a set of too few segments
+    raise AssertionError
+
+
 SETS_DDL = "node long, n long, sketch array<long>, tokens binary"
 
 
@@ -323,13 +377,16 @@ def crossed(members: DataFrame, sets: DataFrame, percent: int, forest: bool) ->
 
     def test(table: pa.Table) -> pa.Table:
         node, of, block, n = (table.column(c).to_numpy() for c in ("node", "of", "block", "n"))
-        sketches = [x.values.to_numpy().view(np.uint64) for x in table.column("sketch")]
-        words = np.array([len(x) for x in sketches])
-        bits = {}
-        for w in np.unique(words).tolist():  # all that are as wide, or folded to it
-            bits[w] = np.zeros((len(node), w), np.uint64)
-            for k in np.flatnonzero(words >= w).tolist():
-                bits[w][k] = folded(sketches[k][None], w)[0]
+        lists = table.column("sketch").combine_chunks()
+        flat, begins = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        words = np.diff(begins)
+        widths = np.unique(words).tolist()
+        bits = {w: np.zeros((len(node), w), np.uint64) for w in widths}  # all sketches that are as wide, or folded to it
+        for w in widths:
+            own = np.flatnonzero(words == w)
+            rows = flat[begins[own][:, None] + np.arange(w)]
+            for narrow in (x for x in widths if x <= w):
+                bits[narrow][own] = folded(rows, narrow) if narrow < w else rows
         key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         label, left_out = np.unique(of, return_inverse=True)[1], 0
@@ -358,14 +415,15 @@ def crossed(members: DataFrame, sets: DataFrame, percent: int, forest: bool) ->
     return units.groupBy("key", "i", "j").applyInArrow(test, "a long, b long").distinct()
 
 
-def links(members: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
+def links(members: DataFrame, sets: DataFrame, percent: int = 80, depth: int = 0) -> DataFrame:
     """(node, component) of all links between members (key, node) of a common key.
 
     Of keys with the same members one is enough. Each node is first verified against the smallest node that is the
     smallest of one of its keys and likely to be like it. While members of a key of more than `CROSS` are in several components, a pivot of
     it, another one in each of `PIVOTS` turns, is tested against its members of other components, so very large
-    groups that are alike merge by pairs as many as they have members. What then is apart is tested in full: a
-    forest of the pairs that pass is verified first, and what is left of them once that has merged components.
+    groups that are alike merge by pairs as many as they have members; what stays apart in keys of more than `VERY`
+    is joined again as a corpus of its own. What then is apart in other keys is tested in full: a forest of the pairs
+    that pass is verified first, and what is left of them once that has merged components.
     """
     h = F.xxhash64("node")
     alike = ["size", "total", "parity", "low"]
@@ -381,7 +439,13 @@ def links(members: DataFrame, sets: DataFrame, percent: int = 80) -> DataFrame:
         pairs = own.where("of <> pivot.of").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b")).distinct()
         of = checkpointed(components(of.union(verified(likely(pairs, sets, percent), sets, percent))))
         large = own.select("key", "node")
-    rest = members.select("key", "node")
+    rest, very = members, members.where(F.col("size") > VERY).select("key", "node")
+    if depth < DEPTH and very.take(1):
+        again = rejoined(sets, checkpointed(apart(very, of, PIVOTS).select("node").distinct()), depth + 1)
+        of = checkpointed(components(of.union(links(again, sets, percent, depth + 1))))
+        discard(again)
+        rest = members.where(F.col("size") <= VERY)
+    rest = rest.select("key", "node")
     for forest in (True, False):
         own = apart(rest, of, PIVOTS)
         pairs = checkpointed(crossed(own, sets, percent, forest))

@@ -218,14 +218,14 @@ def repeats(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, list[DataFra
     return found.withColumn("removed", F.col("removed") & (F.col("size") >= RUN)).drop("new", "size"), [rows, kinds]
 
 
-def repeated(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """One row per run of repeated words: doc_id, first_word, n_words, removed_words, source_doc_ids (the smallest documents of its clusters)."""
+def repeated(docs: DataFrame, percent: int = 80, least: int = 0) -> DataFrame:
+    """One row per run of at least `least` repeated words: doc_id, first_word, n_words, removed_words, source_doc_ids (the smallest documents of its clusters)."""
     found, _ = repeats(docs, percent)
     spans = F.sort_array(F.collect_set(F.when(F.col("removed"), F.struct("first", "upto"))))
     start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("at"))
     covered = F.aggregate(spans, start, lambda s, x: F.struct((s["total"] + F.greatest(F.lit(0).cast("long"), x["upto"] - F.greatest(x["first"], s["at"]))).alias("total"), F.greatest(s["at"], x["upto"]).alias("at")))
     made = found.groupBy("doc_id", "run").agg(F.min("first").alias("first_word"), F.max("upto").alias("upto"), covered["total"].alias("removed_words"), F.sort_array(F.collect_set("source_doc_id")).alias("source_doc_ids"))
-    return made.select("doc_id", "first_word", (F.col("upto") - F.col("first_word")).alias("n_words"), "removed_words", "source_doc_ids")
+    return made.select("doc_id", "first_word", (F.col("upto") - F.col("first_word")).alias("n_words"), "removed_words", "source_doc_ids").where(F.col("n_words") >= least)
 
 
 def without(text: str, gone: list[tuple[int, int]]) -> str:

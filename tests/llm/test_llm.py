@@ -286,7 +286,7 @@ def test_links_that_a_star_misses(spark):
 def other_ways(monkeypatch):
     """Every bound on what is broadcast, held or tested at once so low that the way beyond it is taken."""
     for module, name, value in (
-        (shared, "BROADCAST_ROWS", -1), (jaccard_join, "BROADCAST_BYTES", -1), (jaccard_join, "UNIT", 2), (jaccard_join, "CROSS", 3), (quality_rules, "BROADCAST_GROUPS", -1), (lm_scoring, "HEAD", 300), (lm_scoring, "NEAR", 1),
+        (shared, "BROADCAST_ROWS", -1), (jaccard_join, "BROADCAST_BYTES", -1), (jaccard_join, "UNIT", 2), (jaccard_join, "CROSS", 3), (jaccard_join, "VERY", 4), (quality_rules, "BROADCAST_GROUPS", -1), (lm_scoring, "HEAD", 300), (lm_scoring, "NEAR", 1),
     ):
         monkeypatch.setattr(module, name, value)
 
@@ -359,6 +359,7 @@ def test_short_repeats_are_found_and_stay(spark):
     docs = frame(spark, [(i, prose(920 + i, 60, 9000) + "\n" + line + "\n" + prose(940 + i, 60, 9000)) for i in range(3)])
     got = rows(substring_dedup.repeated(docs))
     assert {r["doc_id"] for r in got if r["n_words"] >= 20} == {0, 1, 2} and all(r["removed_words"] == 0 for r in got)
+    assert substring_dedup.repeated(docs, least=substring_dedup.RUN).count() == 0
     assert all(line in r["text"] for r in rows(substring_dedup.deduplicated(docs)))
 
 

@@ -19,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from fieldpress.llm.bytewords import mix
-from fieldpress.llm.shared import col
+from fieldpress.llm.shared import col, trim
 
 #: Entries that a task holds before it sends them on.
-HELD_KEYS = 1 << 19
+HELD_KEYS = 1 << 18
 #: Ready entries in a row.
 READY = 1 << 14
 #: Bytes of entries that a part has, about.
@@ -132,6 +132,7 @@ def parts_in_order(batches: Iterator[pa.RecordBatch], keyed: set[int]) -> Iterat
             else:
                 yield kind, [blob]
     yield from ((k, x) for k, x in held.items() if x)
+    trim()
 
 
 def dealt(docs: DataFrame, emit: Callable, tasks: int, match: Callable, ddl: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import gc
 import shutil
 import tempfile
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one numpy step works on; the temporaries of a step are some forty times as large.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Largest serialised object that is broadcast; what may be larger takes its operator's other way.
 BROADCAST_BYTES = 48 << 20
 #: Most rows of a small table that a join broadcasts, after counting them.
@@ -128,7 +129,7 @@ def texts_of(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches between rows so that each part has about `most` bytes of text; a longer row stands alone."""
+    """Cut batches between rows so that each part has about `most` bytes of text; a longer row stands alone. At the end the worker gives its free memory back."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -137,6 +138,14 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+    trim()
+
+
+def trim() -> None:
+    """Workers are kept for later tasks: what a task has freed must not stay with an idle one."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not the GNU library
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def col(batch: pa.RecordBatch, name: str) -> pa.Array:
